@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from shelfmark import constants as C
 from shelfmark.functions.media import is_supported
 from shelfmark.functions.paths import dir_name
+from shelfmark.session import cut
 from shelfmark.skew import salted_join
 
 
@@ -38,18 +39,18 @@ def count_unsupported(files: DataFrame) -> DataFrame:
 
 def relative(path: Column, root: str) -> Column:
     """`path` below its source; empty for the source itself."""
-    prefix = root.rstrip("/") + "/"
-    return F.when(F.startswith(path, F.lit(prefix)), F.substring(path, len(prefix) + 1, 1 << 30)).otherwise("")
+    return F.regexp_extract(path, f"(?s)^{_literal(root.rstrip('/') + '/')}(.*)$", 1)
 
 
-def _pattern(names: Sequence[str]) -> str:
-    return "|".join(re.sub(r"([^A-Za-z0-9@])", r"\\\1", n) for n in names)
+def _literal(text: str) -> str:
+    return re.sub(r"([^A-Za-z0-9@/])", r"\\\1", text)
+
+
+_HIDDEN_OR_SYSTEM = rf"(^|/)(\.|({'|'.join(_literal(n) for n in C.SYSTEM_DIRECTORIES)})/)"
 
 
 def is_hidden_or_system(relative_path: Column) -> Column:
-    return relative_path.rlike(r"(^|/)\.") | relative_path.rlike(
-        rf"(^|/)({_pattern(C.SYSTEM_DIRECTORIES)})/"
-    )
+    return relative_path.rlike(_HIDDEN_OR_SYSTEM)
 
 
 def filter_hidden_and_system(files: DataFrame, root: str) -> DataFrame:
@@ -112,13 +113,12 @@ def parse_ignore_line(line: str, excluding: bool = False) -> tuple[str, bool, bo
 
 def exclude_condition(relative_path: Column, patterns: Sequence[str]) -> Column:
     """Whether a file, or a directory above it, matches one of `patterns`."""
-    excluded = F.lit(False)
+    bodies = []
     for pattern in patterns:
         parsed = parse_ignore_line(pattern, excluding=True)
         if parsed:
-            body, _, only_directories = parsed
-            excluded = excluded | relative_path.rlike(f"(?s)^{body}{'/' if only_directories else '(?:/|$)'}")
-    return excluded
+            bodies.append(f"{parsed[0]}{'/' if parsed[2] else '(?:/|$)'}")
+    return relative_path.rlike(f"(?s)^(?:{'|'.join(bodies)})") if bodies else F.lit(False)
 
 
 def filter_excludes(files: DataFrame, patterns: Sequence[str], root: str) -> DataFrame:
@@ -162,15 +162,14 @@ def filter_ignore_files(files: DataFrame, rules: DataFrame) -> DataFrame:
     by_dir = rules.groupBy("dir").agg(F.sort_array(F.collect_list(rule)).alias("rules"))
 
     located = files.withColumn("_dir", dir_name(F.col("path")))
-    directories = (
-        located.select("_dir").distinct()
-        .select(F.explode(_ancestors(F.col("_dir"))).alias("_dir")).distinct()
-    )
+    holding = cut(located.select("_dir").distinct(), "directories")
+    directories = cut(holding.select(F.explode(_ancestors(F.col("_dir"))).alias("_dir")).distinct(), "directories")
     above = directories.select("_dir", F.posexplode(_ancestors(F.col("_dir"))).alias("depth", "dir"))
-    chains = (
+    chains = cut(
         salted_join(above, by_dir, ["dir"], "inner", spread=["_dir"])
         .groupBy("_dir")
-        .agg(F.sort_array(F.collect_list(F.struct("depth", "dir", "rules"))).alias("chain"))
+        .agg(F.sort_array(F.collect_list(F.struct("depth", "dir", "rules"))).alias("chain")),
+        "ignore-rules",
     )
 
     def ignored(path: Column, is_directory: bool) -> Column:
@@ -198,8 +197,7 @@ def filter_ignore_files(files: DataFrame, rules: DataFrame) -> DataFrame:
         .select("_dir").distinct()
     )
     per_dir = (
-        located.select("_dir").distinct()
-        .join(closed.withColumn("closed", F.lit(True)), "_dir", "left")
+        holding.join(closed.withColumn("closed", F.lit(True)), "_dir", "left")
         .join(chains, "_dir", "left")
         .where(F.col("closed").isNotNull() | F.col("chain").isNotNull())
     )

@@ -242,8 +242,7 @@ def plan_dated(
     placing = known.withColumns(nothing).withColumn("leader_day", F.lit(None).cast("date")).unionByName(following)
     of_day = prefix.select(F.col("series").try_cast("date").alias("day"), "album_key").where(F.col("day").isNotNull())
     placed = cut(
-        change.place_known(placing.withColumn("known_uri", F.coalesce("known_uri", F.lit(""))), of_day).withColumns({
-            "known_uri": F.when(F.col("known_uri") != "", F.col("known_uri")),
+        change.place_known(placing, of_day).withColumns({
             "placement": F.when(F.col("leader_fate").isin("refused", "failed"), "failed")
             .when(F.col("leader_fate").isin("uploaded", "linked"),
                   F.when(F.col("day") == F.col("leader_day"), "linked").otherwise("collected"))
