@@ -7,6 +7,7 @@ twice from the same tables gives the same rows.
 from __future__ import annotations
 
 import datetime as dt
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -31,8 +32,13 @@ def plausible(date: Column, earliest_year: int, as_of: dt.date | str) -> Column:
     return F.coalesce((F.year(date) >= earliest_year) & (date <= F.date_add(as_date(as_of), 1)), F.lit(False))
 
 
+def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """`use(value)` with `value` evaluated, and planned, once."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def _if_plausible(date: Column, earliest_year: int, as_of: dt.date | str) -> Column:
-    return F.when(plausible(date, earliest_year, as_of), date)
+    return _bound(date, lambda d: F.when(plausible(d, earliest_year, as_of), d))
 
 
 def local_date(seconds: Column, tz: str) -> Column:
@@ -85,10 +91,12 @@ def video_date(apple_date: Column, mvhd_seconds: Column, as_of: dt.date | str, t
         head.rlike("^[0-9]{4}-[0-9]{2}-[0-9]{2}$"),
         _if_plausible(F.try_to_date(head, "yyyy-MM-dd"), C.EARLIEST_VIDEO_YEAR, as_of),
     )
-    unix = mvhd_seconds - F.lit(C.QUICKTIME_EPOCH_OFFSET)
+    first = C.QUICKTIME_EPOCH_OFFSET + C.UNSET_CLOCK_SECONDS
     header = F.when(
-        unix >= C.UNSET_CLOCK_SECONDS,
-        _if_plausible(local_date(unix, tz), C.EARLIEST_VIDEO_YEAR, as_of),
+        mvhd_seconds >= first,
+        _if_plausible(
+            local_date(mvhd_seconds - F.lit(C.QUICKTIME_EPOCH_OFFSET), tz), C.EARLIEST_VIDEO_YEAR, as_of
+        ),
     )
     return F.coalesce(apple, header)
 
@@ -119,7 +127,9 @@ def capture_date(
 ) -> Column:
     """(day, date_source): the first date found, strongest hint first."""
     def option(date: Column, source: str) -> Column:
-        return F.when(date.isNotNull(), F.struct(date.alias("day"), F.lit(source).alias("date_source")))
+        return _bound(
+            date, lambda d: F.when(d.isNotNull(), F.struct(d.alias("day"), F.lit(source).alias("date_source")))
+        )
 
     return F.coalesce(
         option(exif_date(exif_original, as_of), C.DATED_BY_EXIF),

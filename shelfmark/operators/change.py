@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelfmark import constants as C
-from shelfmark.skew import chunked_lists, salted_join
+from shelfmark.skew import UNCOUNTED, chunked_lists, hot_keys, salted_join
 
 STATE_COLUMNS = [
     "size", "mtime_ns", "sha256", "uploaded_md5", "capture_date", "date_source",
@@ -61,7 +61,9 @@ def detect_touched(files: DataFrame, state: DataFrame) -> DataFrame:
     return checked.withColumn("status", F.when(is_touched(), "touched").otherwise(F.col("status")))
 
 
-def lookup_known(files: DataFrame, hashes: DataFrame, no_cache: bool = False, hot: DataFrame | None = None) -> DataFrame:
+def lookup_known(
+    files: DataFrame, hashes: DataFrame, no_cache: bool = False, hot: DataFrame | None | object = UNCOUNTED
+) -> DataFrame:
     """Adds `known_uri` and `known_album_key` of content already remote."""
     if no_cache:
         nothing = F.lit(None).cast("string")
@@ -72,7 +74,9 @@ def lookup_known(files: DataFrame, hashes: DataFrame, no_cache: bool = False, ho
     return salted_join(files, known, ["sha256"], "left", hot=hot, spread=["path"])
 
 
-def place_known(files: DataFrame, day_albums: DataFrame, hot: DataFrame | None = None) -> DataFrame:
+def place_known(
+    files: DataFrame, day_albums: DataFrame, hot: DataFrame | None | object = UNCOUNTED
+) -> DataFrame:
     """Adds `placement`: linked if the known album is one of the day's, else collected.
 
     `day_albums` holds (day, album_key).
@@ -99,9 +103,10 @@ def caption_jobs(files: DataFrame, state: DataFrame, chunk: int = 1000) -> DataF
     unchanged = detect_unchanged(files, state).where(
         (F.col("status") == "unchanged") & F.col("prev_image_uri").isNotNull()
     ).select(F.col("prev_image_uri").alias("image_uri"), "path", F.col("prev_captioned").alias("captioned"))
+    hot = hot_keys(unchanged, ["image_uri"])
     stale = unchanged.where(~F.coalesce(F.col("captioned"), F.lit(False))).select("image_uri").distinct()
-    members = salted_join(unchanged, stale, ["image_uri"], "left_semi", spread=["path"])
-    return chunked_lists(members, ["image_uri"], "path", chunk).select(
+    members = salted_join(unchanged, stale, ["image_uri"], "left_semi", hot=hot, spread=["path"])
+    return chunked_lists(members, ["image_uri"], "path", chunk, hot=hot).select(
         "image_uri", "part", F.array_join("values", "\n").alias("caption")
     )
 

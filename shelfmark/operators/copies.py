@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfmark.skew import chunked_lists, hot_keys, salted_join
+from shelfmark.skew import UNCOUNTED, chunked_lists, hot_keys, salted_join
 
 
-def elect_copies(files: DataFrame, hot: DataFrame | None = None) -> DataFrame:
+def elect_copies(files: DataFrame, hot: DataFrame | None | object = UNCOUNTED) -> DataFrame:
     """Adds `leader` (the first path of each content) and `is_leader`.
 
     The leader is a minimum, so a content that a third of all files share
@@ -20,7 +20,7 @@ def elect_copies(files: DataFrame, hot: DataFrame | None = None) -> DataFrame:
 
 
 def follow_leaders(
-    elected_files: DataFrame, leader_outcomes: DataFrame, hot: DataFrame | None = None
+    elected_files: DataFrame, leader_outcomes: DataFrame, hot: DataFrame | None | object = UNCOUNTED
 ) -> DataFrame:
     """What each follower becomes once its leader's outcome is known.
 

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from shelfmark import constants as C
 from shelfmark.functions.paths import extension_raw, name_candidate, parse_candidate, stem
-from shelfmark.skew import hot_keys, ranked, salted_join
+from shelfmark.session import cut
+from shelfmark.skew import UNCOUNTED, hot_keys, ranked, refined, salted_join
 
 
 def latest_by_name(images: DataFrame) -> DataFrame:
@@ -28,7 +29,9 @@ def nth_free(rank: Column, taken: Column) -> Column:
     return rank + F.coalesce(F.size(skipped), F.lit(0))
 
 
-def resolve_names(files: DataFrame, remote: DataFrame, hot_rows: int | None = None) -> DataFrame:
+def resolve_names(
+    files: DataFrame, remote: DataFrame, hot: DataFrame | None | object = UNCOUNTED, hot_rows: int | None = None
+) -> DataFrame:
     """What each file is called in its series.
 
     `files` holds (series, path, file_name, md5), `remote` holds (series,
@@ -59,7 +62,8 @@ def resolve_names(files: DataFrame, remote: DataFrame, hot_rows: int | None = No
         "_album",
         F.when(F.col("_remote").isNull(), F.col("_claim.path")).alias("_holder"),
     )
-    hot = hot_keys(files, name_key, hot_rows)
+    if hot is UNCOUNTED:
+        hot = hot_keys(files, name_key, hot_rows)
     checked = salted_join(files, held, name_key, "left", hot=hot, spread=["path"]).withColumn(
         "_own",
         F.when(F.col("_holder") == F.col("path"), "own")
@@ -84,7 +88,7 @@ def resolve_names(files: DataFrame, remote: DataFrame, hot_rows: int | None = No
         .groupBy(*tag_key).agg(F.sort_array(F.collect_list("_h")).alias("_forms"))
     )
     # One rival per content; equal content of one name shares the image.
-    rivals = (
+    rivals = cut(
         checked.where(F.col("_own") == "taken")
         .groupBy(*name_key, "md5").agg(F.min("path").alias("_rival"))
         .withColumn("_tag", F.substring("md5", 1, 8))
@@ -98,17 +102,21 @@ def resolve_names(files: DataFrame, remote: DataFrame, hot_rows: int | None = No
                 ),
                 F.lit(1),
             ),
-        )
+        ),
+        "rivals",
     )
     found = rivals.where(F.col("_same").isNotNull()).withColumn("_n", F.lit(None).cast("bigint"))
     unnamed = rivals.where(F.col("_same").isNull())
-    named = ranked(unnamed, tag_key, ["_rival"], "_r", hot_rows=hot_rows).withColumn(
+    named = ranked(unnamed, tag_key, ["_rival"], "_r", hot=refined(hot, unnamed, tag_key, hot_rows)).withColumn(
         "_n", nth_free(F.col("_r"), F.transform("_forms", lambda h: h["n"]))
     ).drop("_r")
     decided = found.unionByName(named).select(
         *name_key, "md5", "_rival", "_n", F.col("_same").alias("_same")
     )
-    joined = salted_join(checked, decided, [*name_key, "md5"], "left", hot_rows=hot_rows, spread=["path"])
+    content_key = [*name_key, "md5"]
+    joined = salted_join(
+        checked, decided, content_key, "left", hot=refined(hot, files, content_key, hot_rows), spread=["path"]
+    )
 
     leads = F.col("_rival") == F.col("path")
     no_name = F.col("_n") >= C.NAME_CANDIDATES
@@ -177,12 +185,14 @@ def unique_download_names(
     """
     place = F.struct(*[F.col(c) for c in order])
     firsts = images.groupBy(name).agg(F.min(place).alias("_first"))
-    hot = hot_keys(images, [name], hot_rows)
     chain = {"_stem": stem(F.col(name)), "_ext": extension_raw(F.col(name))}
-    marked = salted_join(images, firsts, [name], "left", hot=hot, spread=list(order)).withColumns(chain)
+    chained = images.withColumns(chain)
+    hot_chain = hot_keys(chained, ["_stem", "_ext"], hot_rows)
+    hot = refined(hot_chain, chained, [name], hot_rows)
+    marked = salted_join(chained, firsts, [name], "left", hot=hot, spread=list(order))
     own = marked.where(place == F.col("_first")).withColumn("_k", F.lit(0).cast("bigint"))
     others = ranked(
-        marked.where(place != F.col("_first")), ["_stem", "_ext"], list(order), "_r", hot_rows=hot_rows
+        marked.where(place != F.col("_first")), ["_stem", "_ext"], list(order), "_r", hot=hot_chain
     )
 
     # Own names that stand in another name's chain.
@@ -197,7 +207,7 @@ def unique_download_names(
         .groupBy("_stem", "_ext").agg(F.array_sort(F.collect_set("_count")).alias("_taken"))
     )
     placed = salted_join(
-        others, taken, ["_stem", "_ext"], "left", hot_rows=hot_rows, spread=list(order)
+        others, taken, ["_stem", "_ext"], "left", hot=hot_chain, spread=list(order)
     ).withColumn("_k", nth_free(F.col("_r"), F.col("_taken"))).drop("_r", "_taken")
 
     dotted = F.when(F.col("_ext") != "", F.concat(F.lit("."), F.col("_ext"))).otherwise("")

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelfmark.operators.naming import latest_by_name
-from shelfmark.skew import hot_keys, salted_join
+from shelfmark.skew import UNCOUNTED, hot_keys, refined, salted_join
 
 
 def union_catalogs(catalogs: Sequence[DataFrame]) -> DataFrame:
@@ -17,7 +17,9 @@ def union_catalogs(catalogs: Sequence[DataFrame]) -> DataFrame:
     return latest_by_name(reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), catalogs))
 
 
-def match_remote_name(files: DataFrame, remote: DataFrame, name: str = "file_name") -> DataFrame:
+def match_remote_name(
+    files: DataFrame, remote: DataFrame, name: str = "file_name", hot: DataFrame | None | object = UNCOUNTED
+) -> DataFrame:
     """Adds `name_match` (skip, replace or none) and `replaces_uri`.
 
     `remote` holds (file_name, md5, uri), each name once.
@@ -25,7 +27,7 @@ def match_remote_name(files: DataFrame, remote: DataFrame, name: str = "file_nam
     listed = remote.select(
         F.col("file_name").alias(name), F.lower("md5").alias("_md5"), F.col("uri").alias("_uri")
     ).withColumn("_listed", F.lit(True))
-    joined = salted_join(files, listed, [name], "left", spread=["path"])
+    joined = salted_join(files, listed, [name], "left", hot=hot, spread=["path"])
     same = F.coalesce(F.col("_md5") == F.lower("md5"), F.lit(False))
     match = F.when(F.col("_listed").isNull(), "none").when(same, "skip").otherwise("replace")
     return joined.withColumns({
@@ -41,7 +43,8 @@ def match_remote_content(files: DataFrame, remote: DataFrame) -> DataFrame:
 
 
 def plan_collects(
-    files: DataFrame, target_albums: DataFrame, target_names: DataFrame, hashes: DataFrame
+    files: DataFrame, target_albums: DataFrame, target_names: DataFrame, hashes: DataFrame,
+    hot_names: DataFrame | None | object = UNCOUNTED, hot_content: DataFrame | None | object = UNCOUNTED,
 ) -> DataFrame:
     """Adds `collect_uri`: the known image to add to the target, null if none.
 
@@ -52,8 +55,10 @@ def plan_collects(
         "sha256", F.col("uri").alias("_collect")
     )
     named = target_names.select("file_name").distinct().withColumn("_named", F.lit(True))
-    checked = salted_join(files, named, ["file_name"], "left", spread=["path"])
-    known = salted_join(checked, elsewhere, ["sha256"], "left", spread=["path"])
+    if hot_content is UNCOUNTED:
+        hot_content = hot_keys(files, ["sha256"])
+    checked = salted_join(files, named, ["file_name"], "left", hot=hot_names, spread=["path"])
+    known = salted_join(checked, elsewhere, ["sha256"], "left", hot=hot_content, spread=["path"])
     return known.withColumn(
         "collect_uri", F.when(F.col("_named").isNull(), F.col("_collect"))
     ).drop("_named", "_collect")
@@ -106,12 +111,13 @@ def pick_by_name(
     listed = entries.select(F.lower("_name").alias("_spelling"), position, entry.alias("_entry"))
     loose = listed.groupBy("_spelling").agg(F.min_by("_entry", position).alias("_loose"))
     asked = wanted.withColumn("_spelling", F.lower("name"))
-    joined = salted_join(asked, loose, ["_spelling"], "left", hot=hot_keys(asked, ["_spelling"]))
+    hot = hot_keys(asked, ["_spelling"])
+    joined = salted_join(asked, loose, ["_spelling"], "left", hot=hot)
     if exact_first:
         exact = listed.select(F.col("_entry._name").alias("name"), position, "_entry").groupBy("name").agg(
             F.min_by("_entry", position).alias("_exact")
         )
-        joined = salted_join(joined, exact, ["name"], "left")
+        joined = salted_join(joined, exact, ["name"], "left", hot=refined(hot, wanted, ["name"]))
         joined = joined.withColumn("_loose", F.coalesce("_exact", "_loose"))
     return joined.select(
         *wanted.columns, F.col("_loose._name").alias("found"), *[F.col(f"_loose.{c}").alias(c) for c in rest]

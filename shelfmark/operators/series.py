@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from shelfmark import constants as C
 from shelfmark.functions.paths import series_name
-from shelfmark.skew import elected, hot_keys, ranked, salted_join
+from shelfmark.skew import UNCOUNTED, elected, hot_keys, ranked, salted_join
 
 
 def series_prefix(albums: DataFrame) -> DataFrame:
@@ -48,6 +48,7 @@ def assign_slots(
     albums: DataFrame,
     capacity: int = C.ALBUM_CAPACITY,
     order: Sequence[str] = ("path",),
+    hot: DataFrame | None | object = UNCOUNTED,
     hot_rows: int | None = None,
 ) -> DataFrame:
     """Adds `n`, `album_name`, `created` and `slot_error` to files (series, ...).
@@ -56,7 +57,8 @@ def assign_slots(
     album whose running free room first reaches r; past all room, to new
     albums after the last one.  Beyond SERIES_LIMIT albums is an error.
     """
-    hot = hot_keys(files, ["series"], hot_rows)
+    if hot is UNCOUNTED:
+        hot = hot_keys(files, ["series"], hot_rows)
     numbered = ranked(files, ["series"], list(order), "_r", hot=hot)
     joined = salted_join(
         numbered, _free_room(albums, capacity), ["series"], "left", hot=hot, spread=list(order)

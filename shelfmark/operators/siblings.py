@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from shelfmark.functions import media
 from shelfmark.functions.paths import dir_name, stem
-from shelfmark.skew import elected, salted_join
+from shelfmark.skew import UNCOUNTED, elected, hot_keys, salted_join
 
 _KEY = ["_dir", "_stem"]
 
@@ -16,7 +16,14 @@ def _keyed(files: DataFrame) -> DataFrame:
     return files.withColumns({"_dir": dir_name(F.col("path")), "_stem": F.lower(stem(F.col("path")))})
 
 
-def raw_selection(files: DataFrame, handling: str = "render") -> DataFrame:
+def hot_stems(files: DataFrame) -> DataFrame | None:
+    """Counted once for the functions below, which share their key."""
+    return hot_keys(_keyed(files), _KEY)
+
+
+def raw_selection(
+    files: DataFrame, handling: str = "render", hot: DataFrame | None | object = UNCOUNTED
+) -> DataFrame:
     """Adds `raw_outcome`: kept, rendered, skipped or skipped_with_sibling."""
     path = F.col("path")
     if handling == "upload":
@@ -34,7 +41,7 @@ def raw_selection(files: DataFrame, handling: str = "render") -> DataFrame:
             F.min(F.when(media.is_renderable(path), path)).alias("_first"),
         )
     )
-    joined = salted_join(keyed, groups, _KEY, "left", spread=["path"])
+    joined = salted_join(keyed, groups, _KEY, "left", hot=hot, spread=["path"])
     outcome = (
         F.when(~media.is_renderable(path), "kept")
         .when(~F.col("_taken") & (path == F.col("_first")), "rendered")
@@ -43,8 +50,10 @@ def raw_selection(files: DataFrame, handling: str = "render") -> DataFrame:
     return joined.withColumn("raw_outcome", outcome).select(*files.columns, "raw_outcome")
 
 
-def suppress_raw_siblings(files: DataFrame, handling: str = "render") -> DataFrame:
-    kept = raw_selection(files, handling).where(F.col("raw_outcome").isin("kept", "rendered"))
+def suppress_raw_siblings(
+    files: DataFrame, handling: str = "render", hot: DataFrame | None | object = UNCOUNTED
+) -> DataFrame:
+    kept = raw_selection(files, handling, hot).where(F.col("raw_outcome").isin("kept", "rendered"))
     return kept.drop("raw_outcome")
 
 
@@ -62,7 +71,7 @@ def first_per_stem(files: DataFrame) -> DataFrame:
     return elected(_keyed(files), _KEY, ["path"]).select(*files.columns)
 
 
-def pair_live_photos(files: DataFrame) -> DataFrame:
+def pair_live_photos(files: DataFrame, hot: DataFrame | None | object = UNCOUNTED) -> DataFrame:
     """Sets `live_photo_of` on each video beside a photo of the same stem.
 
     With several photos the last in path order counts.
@@ -70,7 +79,7 @@ def pair_live_photos(files: DataFrame) -> DataFrame:
     path = F.col("path")
     keyed = _keyed(files.drop("live_photo_of"))
     stills = keyed.where(media.is_still(path)).groupBy(*_KEY).agg(F.max("path").alias("_still"))
-    joined = salted_join(keyed, stills, _KEY, "left", spread=["path"])
+    joined = salted_join(keyed, stills, _KEY, "left", hot=hot, spread=["path"])
     return joined.withColumn(
         "live_photo_of", F.when(media.is_live_video(path), F.col("_still"))
     ).drop("_still", *_KEY)

@@ -12,7 +12,7 @@ from shelfmark.functions.dates import day_path
 from shelfmark.functions.paths import dir_name, path_parts
 from shelfmark.operators.scanning import relative
 from shelfmark.session import cut
-from shelfmark.skew import salted_join
+from shelfmark.skew import hot_keys, salted_join
 
 
 def node_closure(nodes: DataFrame, max_depth: int = 100) -> DataFrame:
@@ -29,13 +29,14 @@ def node_closure(nodes: DataFrame, max_depth: int = 100) -> DataFrame:
     })
     levels = [level]
     below_root = nodes.where(F.col("parent_uri").isNotNull())
+    hot = hot_keys(below_root, ["parent_uri"])
     for _ in range(max_depth):
         parents = level.where(F.col("node_type") == "Folder").select(
             F.col("uri").alias("parent_uri"), F.col("parts").alias("_parts"), F.col("depth").alias("_depth"),
             F.col("chain").alias("_chain"), F.col("places").alias("_places"),
         )
         level = cut(
-            salted_join(below_root, parents, ["parent_uri"], "inner", spread=["uri"]).select(
+            salted_join(below_root, parents, ["parent_uri"], "inner", hot=hot, spread=["uri"]).select(
                 *nodes.columns,
                 F.array_append("_parts", F.col("name")).alias("parts"),
                 (F.col("_depth") + 1).alias("depth"),

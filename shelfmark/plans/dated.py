@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -13,7 +14,7 @@ from shelfmark.functions import dates, media
 from shelfmark.functions.paths import file_name, parse_series_name, rendered_name
 from shelfmark.operators import change, copies, naming, scanning, series, siblings
 from shelfmark.session import cut
-from shelfmark.skew import hot_keys, salted_join
+from shelfmark.skew import hot_key_sets, hot_keys, refined, salted_join
 
 # Columns read from file contents; a table without one has it null.
 METADATA_COLUMNS = {
@@ -47,6 +48,7 @@ class DatedOptions:
 def scan(files: DataFrame, options: DatedOptions, ignore_rules: DataFrame | None = None) -> DataFrame:
     """The files a run looks at; `live_photo_of` set."""
     below = scanning.relative(F.col("path"), options.root)
+    hot = siblings.hot_stems(files)
     listed = (
         scanning.filter_supported(files)
         .where(~scanning.is_hidden_or_system(below))
@@ -54,8 +56,8 @@ def scan(files: DataFrame, options: DatedOptions, ignore_rules: DataFrame | None
     )
     if ignore_rules is not None:
         listed = scanning.filter_ignore_files(listed, ignore_rules)
-    kept = siblings.suppress_raw_siblings(scanning.merge_sources([listed]), options.raw_handling)
-    paired = siblings.pair_live_photos(kept)
+    kept = siblings.suppress_raw_siblings(scanning.merge_sources([listed]), options.raw_handling, hot)
+    paired = siblings.pair_live_photos(kept, hot)
     return siblings.skip_live_videos(paired) if options.live_videos == "skip" else paired
 
 
@@ -122,19 +124,22 @@ def day_series(albums: DataFrame) -> DataFrame:
 
 
 def series_images(images: DataFrame, prefix: DataFrame) -> DataFrame:
+    # An album holds at most its capacity, so its key is never hot.
     """(series, file_name, md5, uri, album_key): names held in each series.
 
     `images` holds (album_key, file_name, md5, uri).
     """
-    placed = salted_join(images, prefix.select("album_key", "series", "n"), ["album_key"], "inner", spread=["uri"])
+    placed = images.join(prefix.select("album_key", "series", "n"), "album_key")
     return naming.latest_by_name(placed.select("series", "file_name", "n", "md5", "uri", "album_key"))
 
 
-def _classified(scanned: DataFrame, state: DataFrame, hashes: DataFrame, options: DatedOptions) -> DataFrame:
+def _classified(
+    scanned: DataFrame, state: DataFrame, hashes: DataFrame, options: DatedOptions, hot: DataFrame | None
+) -> DataFrame:
     """Adds `kind` (unchanged, touched, known, refused, upload) and what would be sent."""
     renders = media.is_renderable(F.col("path")) & F.lit(options.raw_handling == "render")
     checked = change.detect_unchanged(with_dates(scanned, state, options), state, options.no_cache)
-    known = change.lookup_known(checked, hashes, options.no_cache)
+    known = change.lookup_known(checked, hashes, options.no_cache, hot)
     same_render = renders & F.coalesce(
         F.col("prev_image_uri").isNotNull() & (F.col("prev_uploaded_md5") == F.col("rendered_md5")), F.lit(False)
     ) & F.lit(not options.no_cache)
@@ -190,10 +195,13 @@ def plan_dated(
     unrenderable, copy of a file of this run, refused video, replacement of
     the path's own image, name already present, upload into a slot.
     """
-    prepared = cut(_classified(with_metadata(scan(files, options, ignore_rules)), state, hashes, options), "prepared")
+    hot_content = hot_keys(files, ["sha256"])
+    scanned = with_metadata(scan(files, options, ignore_rules))
+    prepared = cut(_classified(scanned, state, hashes, options, hot_content), "prepared")
     prefix = cut(day_series(albums), "series")
+    hot = hot_key_sets(prepared, {"day": ["series"], "previous": ["prev_image_uri"]})
+    hot_name = refined(hot["day"], prepared, ["series", "file_name"])
     uploads = prepared.where(F.col("kind") == "upload")
-    hot_content = hot_keys(uploads, ["sha256"])
     leaders, followers = _led(uploads, hot_content)
 
     # An image that another path is, or will be linked to, is not overwritten.
@@ -206,7 +214,7 @@ def plan_dated(
         .groupBy(F.col("image_uri").alias("prev_image_uri")).agg(F.sum("refs").alias("refs"))
     )
     no_previous = F.lit(options.no_cache)
-    judged = salted_join(leaders, refs, ["prev_image_uri"], "left", spread=["path"]).withColumn(
+    judged = salted_join(leaders, refs, ["prev_image_uri"], "left", hot=hot["previous"], spread=["path"]).withColumn(
         "fate",
         F.when(F.col("video_problem").isNotNull(), "refused")
         .when(F.col("prev_image_uri").isNotNull() & (F.col("refs") <= 1) & ~no_previous, "replaced")
@@ -214,7 +222,7 @@ def plan_dated(
     ).drop("refs")
     remote = series_images(images, prefix)
     named = naming.resolve_names(
-        judged.where(F.col("fate") == "name").withColumnRenamed("send_md5", "md5"), remote
+        judged.where(F.col("fate") == "name").withColumnRenamed("send_md5", "md5"), remote, hot=hot_name
     ).withColumnRenamed("md5", "send_md5")
     fate = (
         F.when(F.col("name_action") == "present", "linked")
@@ -242,7 +250,9 @@ def plan_dated(
     placing = known.withColumns(nothing).withColumn("leader_day", F.lit(None).cast("date")).unionByName(following)
     of_day = prefix.select(F.col("series").try_cast("date").alias("day"), "album_key").where(F.col("day").isNotNull())
     placed = cut(
-        change.place_known(placing, of_day).withColumns({
+        change.place_known(
+            placing, of_day, refined(hot["day"], placing, ["day", "known_album_key"])
+        ).withColumns({
             "placement": F.when(F.col("leader_fate").isin("refused", "failed"), "failed")
             .when(F.col("leader_fate").isin("uploaded", "linked"),
                   F.when(F.col("day") == F.col("leader_day"), "linked").otherwise("collected"))
@@ -256,7 +266,7 @@ def plan_dated(
         placed.where(F.col("placement") == "collected").withColumn("late", F.lit(1)), allowMissingColumns=True
     )
     slotted = cut(
-        series.assign_slots(takers, prefix, options.capacity, order=["late", "path"]).select(
+        series.assign_slots(takers, prefix, options.capacity, order=["late", "path"], hot=hot["day"]).select(
             *takers.columns, "n", "album_name", "created", "slot_error"
         ),
         "slots",
@@ -315,13 +325,10 @@ def plan_dated(
             created=~full & F.col("created"),
         ),
     ]
-    actions = parts[0]
-    for part in parts[1:]:
-        actions = actions.unionByName(part)
-    return _with_album_names(actions, albums)
+    return _with_album_names(reduce(DataFrame.unionByName, parts), albums)
 
 
-def _led(uploads: DataFrame, hot: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _led(uploads: DataFrame, hot: DataFrame | None) -> tuple[DataFrame, DataFrame]:
     """The first path of each content, and the other copies."""
     elected = copies.elect_copies(uploads, hot)
     return (
@@ -331,9 +338,15 @@ def _led(uploads: DataFrame, hot: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def _with_album_names(actions: DataFrame, albums: DataFrame) -> DataFrame:
+    """Names the album of actions that only know its key.
+
+    Only those take part in the join, and an album holds no more than its
+    capacity, so neither null nor any key is hot.
+    """
     names = albums.select("album_key", F.col("name").alias("_name"))
-    joined = salted_join(actions, names, ["album_key"], "left", spread=["path"])
-    return joined.withColumn("album_name", F.coalesce("album_name", "_name")).select(*ACTION_COLUMNS)
+    unnamed = F.col("album_name").isNull() & F.col("album_key").isNotNull()
+    joined = actions.where(unnamed).join(names, "album_key", "left").withColumn("album_name", F.col("_name"))
+    return actions.where(~unnamed).unionByName(joined.select(*ACTION_COLUMNS))
 
 
 def outcomes_of(actions: DataFrame) -> DataFrame:

@@ -12,7 +12,7 @@ from shelfmark.functions import media
 from shelfmark.functions.paths import file_name, rendered_name
 from shelfmark.operators import change, copies, naming, remote, scanning, series, siblings
 from shelfmark.session import cut
-from shelfmark.skew import salted_join
+from shelfmark.skew import hot_key_sets, salted_join
 
 ACTION_COLUMNS = ["path", "action", "album_name", "target_name", "image_uri", "reason", "size"]
 
@@ -35,40 +35,42 @@ def plan_flat(
     md5, uri).  Only the type filter applies; nothing hidden is left out.
     """
     kept = siblings.suppress_raw_siblings(
-        scanning.filter_supported(scanning.merge_sources([files])), options.raw_handling
+        scanning.filter_supported(scanning.merge_sources([files])), options.raw_handling, siblings.hot_stems(files)
     )
     for column in ("rendered_md5", "render_error"):
         if column not in kept.columns:
             kept = kept.withColumn(column, F.lit(None).cast("string"))
     renders = media.is_renderable(F.col("path")) & F.lit(options.raw_handling == "render")
-    listed = kept.select(
+    listed = cut(kept.select(
         "path", "size", "sha256", "md5", "rendered_md5", "render_error", renders.alias("renders"),
         file_name(F.col("path")).alias("file_name"),
         F.when(renders, rendered_name(F.col("path"))).otherwise(file_name(F.col("path"))).alias("send_name"),
-    )
+        F.when(renders, F.col("rendered_md5")).otherwise(F.lower("md5")).alias("check_md5"),
+    ), "listed")
+    hot = hot_key_sets(listed, {
+        "name": ["file_name"], "send": ["send_name"], "sha": ["sha256"], "md5": ["check_md5"],
+    })
     prefix = series.series_prefix(albums.where(F.col("series") == options.series))
     held = naming.latest_by_name(
         images.join(prefix.select("album_key", "series", "n"), "album_key")
         .select("series", "file_name", "n", "md5", "uri", "album_key")
     ).select("file_name", "md5", "uri")
-    contents = salted_join(
-        images, prefix.select("album_key"), ["album_key"], "left_semi", spread=["uri"]
-    ).where(F.col("md5").isNotNull()).select(F.lower("md5").alias("check_md5")).distinct()
+    # An album holds at most its capacity, so its key is never hot.
+    contents = images.join(prefix.select("album_key"), "album_key", "left_semi").where(F.col("md5").isNotNull()).select(F.lower("md5").alias("check_md5")).distinct()
 
     known = hashes.limit(0) if options.no_cache else hashes
-    collecting = remote.plan_collects(listed, prefix, held, known)
+    collecting = remote.plan_collects(listed, prefix, held, known, hot["name"], hot["sha"])
     cached = salted_join(
-        collecting, known.select("sha256", F.lit(True).alias("cached")), ["sha256"], "left", spread=["path"]
+        collecting, known.select("sha256", F.lit(True).alias("cached")), ["sha256"], "left", hot=hot["sha"], spread=["path"]
     )
     by_name = remote.match_remote_name(
-        cached.withColumn("check_md5", F.when(F.col("renders"), F.col("rendered_md5")).otherwise(F.lower("md5"))),
-        held,
+        cached, held, hot=hot["name"]
     )
     rendered_held = held.select(F.col("file_name").alias("send_name"), F.lit(True).alias("rendered_held"))
-    by_name = salted_join(by_name, rendered_held, ["send_name"], "left", spread=["path"])
+    by_name = salted_join(by_name, rendered_held, ["send_name"], "left", hot=hot["send"], spread=["path"])
     if options.check_remote:
         by_name = salted_join(
-            by_name, contents.withColumn("content_held", F.lit(True)), ["check_md5"], "left", spread=["path"]
+            by_name, contents.withColumn("content_held", F.lit(True)), ["check_md5"], "left", hot=hot["md5"], spread=["path"]
         )
     else:
         by_name = by_name.withColumn("content_held", F.lit(None).cast("boolean"))
@@ -97,7 +99,7 @@ def plan_flat(
     sending = F.col("action").isin("uploaded", "replaced")
     if not options.no_cache:
         # Once the first copy is sent its content is known, so the others are skipped.
-        elected = copies.elect_copies(decided.where(sending))
+        elected = copies.elect_copies(decided.where(sending), hot["sha"])
         sent = elected.withColumns({
             "reason": F.when(~F.col("is_leader"), "copy").otherwise(F.col("reason")),
             "action": F.when(F.col("is_leader"), F.col("action")).otherwise("skipped"),

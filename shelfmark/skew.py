@@ -1,18 +1,25 @@
 """Numbering, electing and joining when one key may hold a third of all rows.
 
-All three first find the hot keys, by a count with map-side combine.  At most
-`MAX_HOT_KEYS` keys are treated as hot, the largest ones, so what is broadcast
-is bounded however large the table: a key that misses the list holds fewer
-than 1/MAX_HOT_KEYS of the rows, which one task can take.  Hot keys are split
-over many tasks; all other keys take the ordinary path.  Nothing is dropped.
+Hot keys are found first, by a count with map-side combine.  At most
+`MAX_HOT_KEYS` keys are treated as hot, the largest ones, so what comes to the
+driver and is broadcast is bounded however large the table: a key that misses
+the list holds fewer than 1/MAX_HOT_KEYS of the rows, which one task can take.
+Hot keys are split over many tasks and all others take the ordinary path;
+nothing is dropped.  A table without hot keys gets an ordinary plan.
+
+The count may be made on any table that holds at least the rows joined: pass
+it as `hot` to count once, early, and not again after every join.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, LongType
+
+from shelfmark.session import cut
 
 # Rows of one key that a task handles without being split.
 HOT_ROWS = 1_000_000
@@ -21,28 +28,55 @@ MAX_HOT_KEYS = 4096
 _SAMPLES_PER_SLICE = 32
 _FAN = 32
 
+# Not counted yet; None means counted, and no key is hot.
+UNCOUNTED = object()
+
 
-def hot_keys(df: DataFrame, keys: Sequence[str], hot_rows: int | None = None) -> DataFrame:
-    """(keys..., hot_n, slices): at most MAX_HOT_KEYS rows.
+def hot_key_sets(
+    df: DataFrame, key_sets: Mapping[str, Sequence[str]], hot_rows: int | None = None
+) -> dict[str, DataFrame | None]:
+    """Per name, (keys..., hot_n, slices) or None where no key is hot; one job.
 
-    The slices of all hot keys together number at most 2 * MAX_HOT_KEYS.
+    The slices of all hot keys of a set number at most 2 * MAX_HOT_KEYS.
     """
     limit = HOT_ROWS if hot_rows is None else hot_rows
-    largest = (
-        df.groupBy(*keys).agg(F.count("*").alias("hot_n"))
-        .where(F.col("hot_n") > limit)
-        .orderBy(F.desc("hot_n"), *keys)
-        .limit(MAX_HOT_KEYS)
-    )
-    per_slice = F.greatest(F.lit(limit), F.sum("hot_n").over(Window.partitionBy(F.lit(1))) / MAX_HOT_KEYS)
-    return largest.withColumn("slices", F.ceil(F.col("hot_n") / per_slice).cast("int"))
+    counted = None
+    for name, keys in key_sets.items():
+        largest = (
+            df.groupBy(*keys).agg(F.count("*").alias("hot_n"))
+            .where(F.col("hot_n") > limit)
+            .orderBy(F.desc("hot_n")).limit(MAX_HOT_KEYS)
+            .select(F.lit(name).alias("_set"), "hot_n", F.struct(*keys).alias(f"_key_{name}"))
+        )
+        counted = largest if counted is None else counted.unionByName(largest, allowMissingColumns=True)
+    # Bounded: MAX_HOT_KEYS rows to a set.
+    rows = counted.collect()
+    sets: dict[str, DataFrame | None] = {}
+    for name, keys in key_sets.items():
+        mine = [r for r in rows if r["_set"] == name]
+        per_slice = max(limit, sum(r["hot_n"] for r in mine) // MAX_HOT_KEYS)
+        schema = df.select(*keys).schema.add("hot_n", LongType()).add("slices", IntegerType())
+        sets[name] = df.sparkSession.createDataFrame(
+            [(*r[f"_key_{name}"], r["hot_n"], -(-r["hot_n"] // per_slice)) for r in mine],
+            _nullable(schema),
+        ) if mine else None
+    return sets
 
 
-def _null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Column:
-    condition = F.lit(True)
-    for key in keys:
-        condition = condition & left[key].eqNullSafe(right[key])
-    return condition
+def _nullable(schema):
+    for field in schema.fields:
+        field.nullable = True
+    return schema
+
+
+def hot_keys(df: DataFrame, keys: Sequence[str], hot_rows: int | None = None) -> DataFrame | None:
+    return hot_key_sets(df, {"keys": keys}, hot_rows)["keys"]
+
+
+def refined(hot: DataFrame | None, df: DataFrame, keys: Sequence[str], hot_rows: int | None = None):
+    """Hot keys of a key set that refines one whose `hot` is known: a finer
+    key has no more rows, so none is hot where no coarser one is."""
+    return None if hot is None else hot_keys(df, keys, hot_rows)
 
 
 def with_hot(df: DataFrame, hot: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
@@ -60,7 +94,7 @@ def ranked(
     keys: Sequence[str],
     order: Sequence[str],
     name: str,
-    hot: DataFrame | None = None,
+    hot: DataFrame | None | object = UNCOUNTED,
     hot_rows: int | None = None,
 ) -> DataFrame:
     """Adds `name`: row_number() over (partition by keys order by order).
@@ -69,19 +103,19 @@ def ranked(
     fall decides only how even the slices are: a row's number is its number
     within its slice plus the rows in earlier slices, which is exact.
     """
-    if hot is None:
+    if hot is UNCOUNTED:
         hot = hot_keys(df, keys, hot_rows)
+    if hot is None:
+        number = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+        return df.withColumn(name, number.cast("bigint"))
+    df = cut(df, "ranked")
     # The order must tell rows apart; equal rows always share a slice.
     place = F.struct(*[F.col(c) for c in order])
 
+    one_in = F.greatest(F.floor(F.col("hot_n") / (F.col("slices") * _SAMPLES_PER_SLICE)), F.lit(1))
     sampled = with_hot(df.select(*keys, place.alias("_place")), hot, keys, ["hot_n", "slices"]).where(
         F.col("slices").isNotNull()
-        & (
-            F.pmod(
-                F.xxhash64(*[F.col(f"_place.{c}") for c in order]),
-                F.greatest(F.floor(F.col("hot_n") / (F.col("slices") * _SAMPLES_PER_SLICE)), F.lit(1)),
-            ) == 0
-        )
+        & (F.pmod(F.xxhash64(*[F.col(f"_place.{c}") for c in order]), one_in) == 0)
     )
     size = F.size("_sample")
     cuts = sampled.groupBy(*keys).agg(
@@ -137,7 +171,7 @@ def salted_join(
     right: DataFrame,
     keys: Sequence[str],
     how: str = "left",
-    hot: DataFrame | None = None,
+    hot: DataFrame | None | object = UNCOUNTED,
     spread: Sequence[str] | None = None,
     hot_rows: int | None = None,
 ) -> DataFrame:
@@ -149,8 +183,10 @@ def salted_join(
     """
     if how not in ("left", "inner", "left_semi", "left_anti"):
         raise ValueError(f"join kind {how!r} cannot repeat the right side")
-    if hot is None:
+    if hot is UNCOUNTED:
         hot = hot_keys(left, keys, hot_rows)
+    if hot is None:
+        return left.join(right, list(keys), how)
     spread_by = F.xxhash64(*[F.col(c) for c in (spread or left.columns)])
     salted = with_hot(left, hot, keys, ["slices"]).withColumn(
         "_salt", F.when(F.col("slices").isNotNull(), F.pmod(spread_by, F.col("slices"))).otherwise(0).cast("int")
@@ -169,7 +205,7 @@ def elected(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFra
 
 
 def chunked_lists(
-    df: DataFrame, keys: Sequence[str], value: str, chunk: int, hot: DataFrame | None = None
+    df: DataFrame, keys: Sequence[str], value: str, chunk: int, hot: DataFrame | None | object = UNCOUNTED
 ) -> DataFrame:
     """(keys..., part, values): a group's values in order, `chunk` to a row.
 
