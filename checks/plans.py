@@ -145,6 +145,16 @@ def _(t):
     return reports.summary_maps(_plan(t)).select(text("date_sources"), text("days"))
 
 
+@check("scan_summary", f"""
+WITH {_DATED}
+SELECT (SELECT count(*) FROM v_files WHERE ext = 'xmp') AS unsupported, (SELECT count(*) FROM kept WHERE {_RENDERS}) AS raw_rendered,
+       cast(0 AS bigint) AS raw_skipped, (SELECT count(*) FROM listed) - (SELECT count(*) FROM kept) AS raw_skipped_with_sibling,
+       (SELECT count(*) FROM kept WHERE ext IN ('mov','mp4') AND still IS NOT NULL) AS live_photo_videos, cast(0 AS bigint) AS live_photo_videos_skipped
+""")
+def _(t):
+    return dated.scan_summary(t.files.select("path", "size"), OPTIONS)
+
+
 @check("plan_preview", f"WITH {_DATED} SELECT path, strftime(day, '%Y-%m-%d') AS day, date_source FROM checked WHERE NOT unchanged")
 def _(t):
     preview = dated.plan_preview(inventory(t), t.state, OPTIONS)

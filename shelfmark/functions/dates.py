@@ -120,26 +120,28 @@ def metadata_date(
     )
 
 
+def dated_by(date: Column, source: str) -> Column:
+    """(day, date_source), null without a date."""
+    return _bound(
+        date, lambda d: F.when(d.isNotNull(), F.struct(d.alias("day"), F.lit(source).alias("date_source")))
+    )
+
+
 def capture_date(
     path: Column, mtime_ns: Column, exif_original: Column, exif_digitized: Column,
     exif_modified: Column, apple_date: Column, mvhd_seconds: Column,
     as_of: dt.date | str, tz: str = "UTC",
 ) -> Column:
     """(day, date_source): the first date found, strongest hint first."""
-    def option(date: Column, source: str) -> Column:
-        return _bound(
-            date, lambda d: F.when(d.isNotNull(), F.struct(d.alias("day"), F.lit(source).alias("date_source")))
-        )
-
     return F.coalesce(
-        option(exif_date(exif_original, as_of), C.DATED_BY_EXIF),
-        option(exif_date(exif_digitized, as_of), C.DATED_BY_EXIF),
-        option(
+        dated_by(exif_date(exif_original, as_of), C.DATED_BY_EXIF),
+        dated_by(exif_date(exif_digitized, as_of), C.DATED_BY_EXIF),
+        dated_by(
             F.when(is_dated_video(path), video_date(apple_date, mvhd_seconds, as_of, tz)), C.DATED_BY_VIDEO
         ),
-        option(file_name_date(file_name(path), as_of, tz), C.DATED_BY_NAME),
-        option(exif_date(exif_modified, as_of), C.DATED_BY_EXIF_MODIFIED),
-        option(modified_date(mtime_ns, tz), C.DATED_BY_MTIME),
+        dated_by(file_name_date(file_name(path), as_of, tz), C.DATED_BY_NAME),
+        dated_by(exif_date(exif_modified, as_of), C.DATED_BY_EXIF_MODIFIED),
+        dated_by(modified_date(mtime_ns, tz), C.DATED_BY_MTIME),
     )
 
 

@@ -14,7 +14,7 @@ from shelfmark.functions import dates, media
 from shelfmark.functions.paths import file_name, parse_series_name, rendered_name
 from shelfmark.operators import change, copies, naming, scanning, series, siblings
 from shelfmark.session import cut
-from shelfmark.skew import hot_key_sets, hot_keys, refined, salted_join
+from shelfmark.skew import UNCOUNTED, hot_key_sets, refined, salted_join
 
 # Columns read from file contents; a table without one has it null.
 METADATA_COLUMNS = {
@@ -45,68 +45,92 @@ class DatedOptions:
     no_cache: bool = False
 
 
-def scan(files: DataFrame, options: DatedOptions, ignore_rules: DataFrame | None = None) -> DataFrame:
-    """The files a run looks at; `live_photo_of` set."""
+def not_excluded(files: DataFrame, options: DatedOptions, ignore_rules: DataFrame | None = None) -> DataFrame:
     below = scanning.relative(F.col("path"), options.root)
-    hot = siblings.hot_stems(files)
-    listed = (
-        scanning.filter_supported(files)
-        .where(~scanning.is_hidden_or_system(below))
-        .where(~scanning.exclude_condition(below, options.excludes))
+    found = files.where(~scanning.is_hidden_or_system(below)).where(
+        ~scanning.exclude_condition(below, options.excludes)
     )
-    if ignore_rules is not None:
-        listed = scanning.filter_ignore_files(listed, ignore_rules)
-    kept = siblings.suppress_raw_siblings(scanning.merge_sources([listed]), options.raw_handling, hot)
-    paired = siblings.pair_live_photos(kept, hot)
-    return siblings.skip_live_videos(paired) if options.live_videos == "skip" else paired
+    return found if ignore_rules is None else scanning.filter_ignore_files(found, ignore_rules)
+
+
+def listed(files: DataFrame, options: DatedOptions, ignore_rules: DataFrame | None = None) -> DataFrame:
+    """Supported files that nothing excludes, each path once."""
+    supported = scanning.filter_supported(files)
+    return scanning.merge_sources([not_excluded(supported, options, ignore_rules)])
 
 
 def with_metadata(files: DataFrame) -> DataFrame:
-    return files.withColumns({
-        name: (F.col(name) if name in files.columns else F.lit(None)).cast(kind)
-        for name, kind in METADATA_COLUMNS.items()
-    })
-
-
-def live_photo_dates(files: DataFrame, state: DataFrame, options: DatedOptions) -> DataFrame:
-    """(path, live_day): for paired videos, the photo's recorded date, else
-    its metadata date.  Only the videos take part in these joins."""
-    videos = files.where(F.col("live_photo_of").isNotNull()).select(F.col("path").alias("video"), F.col("live_photo_of").alias("path"))
-    recorded = change.complete_state(state).select("path", F.col("capture_date").alias("_recorded"))
-    photos = files.select(
-        "path",
-        dates.metadata_date(
-            F.col("path"), F.col("exif_original"), F.col("exif_digitized"),
-            F.col("apple_date"), F.col("mvhd_seconds"), options.as_of, options.tz,
-        ).alias("_read"),
-    )
-    return videos.join(recorded, "path", "left").join(photos, "path", "left").select(
-        F.col("video").alias("path"), F.coalesce("_recorded", "_read").alias("live_day")
+    return files.select(
+        "path", "size", "mtime_ns",
+        *[
+            (F.col(name) if name in files.columns else F.lit(None)).cast(kind).alias(name)
+            for name, kind in METADATA_COLUMNS.items()
+        ],
     )
 
 
-def with_dates(files: DataFrame, state: DataFrame, options: DatedOptions) -> DataFrame:
-    """Adds `day` and `date_source`."""
+def scan(files: DataFrame, options: DatedOptions, hot: DataFrame | None | object = UNCOUNTED) -> DataFrame:
+    """What a run looks at of listed files: siblings chosen, `live_photo_of` set."""
+    carry = [c for c in _PHOTO_COLUMNS if c in files.columns]
+    selected = siblings.select_siblings(files, options.raw_handling, carry, hot)
+    kept = selected.where(F.col("raw_outcome").isin("kept", "rendered")).drop("raw_outcome")
+    return siblings.skip_live_videos(kept) if options.live_videos == "skip" else kept
+
+
+def scan_summary(files: DataFrame, options: DatedOptions, ignore_rules: DataFrame | None = None) -> DataFrame:
+    """One row: files listed but not taken, by why, and live videos."""
+    unsupported = scanning.count_unsupported(not_excluded(files, options, ignore_rules)).select("unsupported")
+    selected = siblings.select_siblings(listed(files, options, ignore_rules), options.raw_handling)
+    outcome = F.col("raw_outcome")
+    live = outcome.isin("kept", "rendered") & F.col("live_photo_of").isNotNull()
+    skips = F.lit(options.live_videos == "skip")
+    return selected.agg(
+        F.count_if(outcome == "rendered").alias("raw_rendered"),
+        F.count_if(outcome == "skipped").alias("raw_skipped"),
+        F.count_if(outcome == "skipped_with_sibling").alias("raw_skipped_with_sibling"),
+        F.count_if(live & ~skips).alias("live_photo_videos"),
+        F.count_if(live & skips).alias("live_photo_videos_skipped"),
+    ).withColumn("unsupported", unsupported.scalar())
+
+
+# What a live video needs to know of its photo.
+_PHOTO_COLUMNS = ["prev_capture_date", "exif_original", "exif_digitized", "apple_date", "mvhd_seconds"]
+
+
+def with_dates(scanned: DataFrame, options: DatedOptions) -> DataFrame:
+    """Adds `day` and `date_source`.
+
+    A paired video takes its photo's recorded date, else its photo's metadata
+    date, else its own.
+    """
     own = dates.capture_date(
         F.col("path"), F.col("mtime_ns"), F.col("exif_original"), F.col("exif_digitized"),
         F.col("exif_modified"), F.col("apple_date"), F.col("mvhd_seconds"), options.as_of, options.tz,
     )
-    by_photo = F.when(
-        F.col("live_day").isNotNull(),
-        F.struct(F.col("live_day").alias("day"), F.lit(C.DATED_BY_LIVE_PHOTO).alias("date_source")),
+    read = dates.metadata_date(
+        F.col("photo.path"), F.col("photo.exif_original"), F.col("photo.exif_digitized"),
+        F.col("photo.apple_date"), F.col("photo.mvhd_seconds"), options.as_of, options.tz,
     )
-    joined = files.join(live_photo_dates(files, state, options), "path", "left")
-    return joined.withColumn("_dated", F.coalesce(by_photo, own)).withColumns({
+    by_photo = dates.dated_by(F.coalesce("photo.prev_capture_date", read), C.DATED_BY_LIVE_PHOTO)
+    return scanned.withColumn("_dated", F.coalesce(by_photo, own)).withColumns({
         "day": F.col("_dated.day"), "date_source": F.col("_dated.date_source"),
-    }).drop("_dated", "live_day")
+    }).drop("_dated", "photo")
+
+
+def checked_files(
+    files: DataFrame, state: DataFrame, options: DatedOptions, ignore_rules: DataFrame | None = None
+) -> DataFrame:
+    """Listed files beside their records, written once: both tables are read
+    once, and shuffled once by path."""
+    found = listed(with_metadata(files), options, ignore_rules)
+    return cut(change.detect_unchanged(found, state, options.no_cache), "checked")
 
 
 def plan_preview(
     files: DataFrame, state: DataFrame, options: DatedOptions, ignore_rules: DataFrame | None = None
 ) -> DataFrame:
     """New or changed files with their day: no content, no remote tables."""
-    scanned = with_metadata(scan(files, options, ignore_rules))
-    pending = change.detect_unchanged(with_dates(scanned, state, options), state, options.no_cache)
+    pending = with_dates(scan(checked_files(files, state, options, ignore_rules), options), options)
     return pending.where(F.col("status") != "unchanged").select("path", "size", "day", "date_source", "status")
 
 
@@ -133,13 +157,10 @@ def series_images(images: DataFrame, prefix: DataFrame) -> DataFrame:
     return naming.latest_by_name(placed.select("series", "file_name", "n", "md5", "uri", "album_key"))
 
 
-def _classified(
-    scanned: DataFrame, state: DataFrame, hashes: DataFrame, options: DatedOptions, hot: DataFrame | None
-) -> DataFrame:
+def _classified(dated: DataFrame, hashes: DataFrame, options: DatedOptions, hot: DataFrame | None) -> DataFrame:
     """Adds `kind` (unchanged, touched, known, refused, upload) and what would be sent."""
     renders = media.is_renderable(F.col("path")) & F.lit(options.raw_handling == "render")
-    checked = change.detect_unchanged(with_dates(scanned, state, options), state, options.no_cache)
-    known = change.lookup_known(checked, hashes, options.no_cache, hot)
+    known = change.lookup_known(dated, hashes, options.no_cache, hot)
     same_render = renders & F.coalesce(
         F.col("prev_image_uri").isNotNull() & (F.col("prev_uploaded_md5") == F.col("rendered_md5")), F.lit(False)
     ) & F.lit(not options.no_cache)
@@ -195,9 +216,13 @@ def plan_dated(
     unrenderable, copy of a file of this run, refused video, replacement of
     the path's own image, name already present, upload into a slot.
     """
-    hot_content = hot_keys(files, ["sha256"])
-    scanned = with_metadata(scan(files, options, ignore_rules))
-    prepared = cut(_classified(scanned, state, hashes, options, hot_content), "prepared")
+    checked = checked_files(files, state, options, ignore_rules)
+    hot_file = hot_key_sets(
+        siblings.with_stem(checked), {"content": ["sha256"], "stem": siblings.STEM_KEY}
+    )
+    hot_content = hot_file["content"]
+    scanned = with_dates(scan(checked, options, hot_file["stem"]), options)
+    prepared = cut(_classified(scanned, hashes, options, hot_content), "prepared")
     prefix = cut(day_series(albums), "series")
     hot = hot_key_sets(prepared, {"day": ["series"], "previous": ["prev_image_uri"]})
     hot_name = refined(hot["day"], prepared, ["series", "file_name"])

@@ -1,0 +1,207 @@
+"""Raw metadata of media files: a job over `binaryFile`.
+
+Only the walk over bytes is Python; what the strings and numbers mean is
+decided by column expressions (`functions.dates`, `functions.media`).
+"""
+
+from __future__ import annotations
+
+import struct
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from shelfmark.functions.media import is_dated_video
+
+METADATA = (
+    "path string, exif_original string, exif_digitized string, exif_modified string, apple_date string, "
+    "mvhd_seconds bigint, duration_s double, short_side int, unfinished boolean"
+)
+
+# EXIF tags and directories, by number.
+_MODIFIED, _ORIGINAL, _DIGITIZED, _EXIF_DIRECTORY = 0x0132, 0x9003, 0x9004, 0x8769
+_APPLE_KEY = b"com.apple.quicktime.creationdate"
+# Box types that hold an EXIF block in a still (HEIC, CR3).
+_CR3_BLOCKS = (b"CMT1", b"CMT2")
+_MAX_MOOV = 64 * 1024 * 1024
+
+
+def tiff_tags(data: bytes) -> dict[int, str]:
+    """Text tags of a TIFF block's first directory and its EXIF directory."""
+    order = {b"II": "<", b"MM": ">"}.get(data[:2])
+    if order is None or len(data) < 8:
+        return {}
+    tags: dict[int, str] = {}
+    pending, seen = [struct.unpack_from(order + "I", data, 4)[0]], set()
+    while pending:
+        at = pending.pop()
+        if at in seen or at + 2 > len(data):
+            continue
+        seen.add(at)
+        for i in range(struct.unpack_from(order + "H", data, at)[0]):
+            entry = at + 2 + 12 * i
+            if entry + 12 > len(data):
+                break
+            tag, kind, count = struct.unpack_from(order + "HHI", data, entry)
+            if tag == _EXIF_DIRECTORY:
+                pending.append(struct.unpack_from(order + "I", data, entry + 8)[0])
+            elif kind == 2 and tag in (_MODIFIED, _ORIGINAL, _DIGITIZED):
+                start = entry + 8 if count <= 4 else struct.unpack_from(order + "I", data, entry + 8)[0]
+                value = data[start:start + count].split(b"\0")[0]
+                tags.setdefault(tag, value.decode("utf-8", "replace"))
+    return tags
+
+
+def boxes(data: bytes, start: int = 0, end: int | None = None) -> Iterator[tuple[bytes, int, int]]:
+    """(type, start, end) of each payload; stops at the first that does not fit."""
+    end = len(data) if end is None else end
+    while start + 8 <= end:
+        size, kind = struct.unpack_from(">I4s", data, start)
+        payload = start + 8
+        if size == 1:
+            if start + 16 > end:
+                return
+            size, payload = struct.unpack_from(">Q", data, start + 8)[0], start + 16
+        elif size == 0:
+            size = end - start
+        if size < payload - start or start + size > end:
+            return
+        yield kind, payload, start + size
+        start += size
+
+
+def _box(data: bytes, kind: bytes, start: int, end: int) -> tuple[int, int] | None:
+    return next(((s, e) for k, s, e in boxes(data, start, end) if k == kind), None)
+
+
+def _apple_date(data: bytes, moov: tuple[int, int]) -> str | None:
+    meta = _box(data, b"meta", *moov)
+    keys = meta and _box(data, b"keys", *meta)
+    values = meta and _box(data, b"ilst", *meta)
+    if not keys or not values or keys[0] + 8 > keys[1]:
+        return None
+    at, index = keys[0] + 8, None
+    for i in range(1, struct.unpack_from(">I", data, keys[0] + 4)[0] + 1):
+        if at + 8 > keys[1]:
+            return None
+        size = struct.unpack_from(">I", data, at)[0]
+        if data[at + 8:at + size] == _APPLE_KEY:
+            index = i
+            break
+        at += max(size, 8)
+    if index is None:
+        return None
+    item = _box(data, struct.pack(">I", index), *values)
+    value = item and _box(data, b"data", *item)
+    return data[value[0] + 8:value[1]].decode("utf-8", "replace") if value else None
+
+
+def movie_fields(data: bytes) -> dict:
+    """What a QuickTime or MP4 file's headers say."""
+    kinds, at, moov = [], 0, None
+    for kind, start, end in boxes(data):
+        kinds.append(kind)
+        at = end
+        if kind == b"moov":
+            moov = (start, end)
+            break
+    if moov is None:
+        # Media data and a proper start, but no header: never finished.
+        whole = at + 8 > len(data)
+        return {"unfinished": whole and kinds[:1] == [b"ftyp"] and b"mdat" in kinds}
+    if moov[1] - moov[0] > _MAX_MOOV:
+        return {"unfinished": False}
+    fields = {"unfinished": False, "apple_date": _apple_date(data, moov)}
+    header = _box(data, b"mvhd", *moov)
+    if header and header[0] < header[1]:
+        layout, place = (">QQIQ", 4) if data[header[0]] == 1 else (">IIII", 4)
+        if header[0] + place + struct.calcsize(layout) <= header[1]:
+            created, _, scale, length = struct.unpack_from(layout, data, header[0] + place)
+            fields["mvhd_seconds"] = created - (1 << 64) if created >= 1 << 63 else created
+            fields["duration_s"] = length / scale if scale else None
+    for kind, start, end in boxes(data, *moov):
+        track = _box(data, b"tkhd", start, end) if kind == b"trak" else None
+        if track and track[1] - track[0] >= 8:
+            width, height = (v >> 16 for v in struct.unpack_from(">II", data, track[1] - 8))
+            if width and height:
+                fields["short_side"] = min(width, height)
+                break
+    return fields
+
+
+def exif_block(data: bytes) -> list[bytes]:
+    """The TIFF blocks of a still, wherever its format keeps them."""
+    if data[:2] in (b"II", b"MM"):
+        return [data]
+    if data[:2] == b"\xff\xd8":
+        at = 2
+        while at + 4 <= len(data) and data[at] == 0xFF and data[at + 1] != 0xDA:
+            size = struct.unpack_from(">H", data, at + 2)[0]
+            if data[at + 1] == 0xE1 and data[at + 4:at + 10] == b"Exif\0\0":
+                return [data[at + 10:at + 2 + size]]
+            at += 2 + size
+        return []
+    if data[:8] == b"\x89PNG\r\n\x1a\n":
+        at = 8
+        while at + 12 <= len(data):
+            size, kind = struct.unpack_from(">I4s", data, at)
+            if kind == b"eXIf":
+                return [data[at + 8:at + 8 + size]]
+            at += 12 + size
+        return []
+    if data[4:8] == b"ftyp":
+        # CR3 keeps plain TIFF blocks in boxes; HEIC marks its item with a name.
+        found = []
+        for kind, start, end in boxes(data):
+            if kind == b"moov":
+                for inner, s, e in boxes(data, start, end):
+                    if inner == b"uuid":
+                        found += [data[a:b] for k, a, b in boxes(data, s + 16, e) if k in _CR3_BLOCKS]
+        mark = data.find(b"Exif\0\0")
+        return found or ([data[mark + 6:]] if mark >= 0 else [])
+    return []
+
+
+def file_fields(data: bytes, is_video: bool) -> dict:
+    """Fields of METADATA for one file; a broken file has none."""
+    try:
+        fields = movie_fields(data) if is_video else {}
+        tags: dict[int, str] = {}
+        for block in [] if is_video else exif_block(data):
+            for tag, value in tiff_tags(block).items():
+                tags.setdefault(tag, value)
+    except (struct.error, IndexError, ValueError):
+        return {}
+    return fields | {
+        "exif_original": tags.get(_ORIGINAL), "exif_digitized": tags.get(_DIGITIZED),
+        "exif_modified": tags.get(_MODIFIED),
+    }
+
+
+def extract_media_metadata(files: DataFrame) -> DataFrame:
+    """(path, content) -> METADATA, one row per file."""
+    columns = [field.split()[0] for field in METADATA.split(", ")]
+
+    def extracted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = [
+                {"path": path} | file_fields(bytes(content or b""), bool(video))
+                for path, content, video in zip(batch["path"], batch["content"], batch["video"])
+            ]
+            # Objects, so that a missing number stays null and not NaN.
+            yield pd.DataFrame(rows, columns=columns, dtype=object)
+
+    return files.select("path", "content", is_dated_video(F.col("path")).alias("video")).mapInPandas(extracted, METADATA)
+
+
+def read_media_metadata(spark: SparkSession, path: str, max_bytes: int = 1 << 30) -> DataFrame:
+    """METADATA of the files under `path` up to `max_bytes`; larger are listed
+    without fields, as `binaryFile` would have to hold them whole."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    small = extract_media_metadata(found.where(F.col("length") <= max_bytes))
+    large = found.where(F.col("length") > max_bytes).select("path")
+    return small.unionByName(large, allowMissingColumns=True).withColumn(
+        "path", F.regexp_replace("path", "^file:/+", "/")
+    )
