@@ -25,9 +25,9 @@ def read_inventory(spark: SparkSession, sources: Sequence[str]) -> DataFrame:
     """Files below `sources` (folders or single files), contents never read.
 
     `content` is left out, so the scan lists files and opens none; a source
-    that is not there is an error.  Times come in milliseconds, and names
-    starting with `_` or `.` are left out: use `read_walked_inventory` where
-    cameras write such names.
+    that is not there is an error.  Times come in milliseconds, and empty files and
+    names starting with `_` or `.` are left out: use `read_walked_inventory`
+    where cameras write such names.
     """
     def one(source: str) -> DataFrame:
         found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(source)
