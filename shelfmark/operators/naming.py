@@ -14,9 +14,12 @@ from shelfmark.skew import UNCOUNTED, hot_keys, ranked, refined, salted_join
 
 
 def latest_by_name(images: DataFrame) -> DataFrame:
-    """Per (series, file_name), the entry of the album with the highest n."""
+    """Per (series, file_name), the entry of the album with the highest n.
+
+    Within an album the last listed counts: by `pos` where given, else by key.
+    """
     rest = [c for c in images.columns if c not in ("series", "file_name")]
-    tie = [c for c in ("n", "pos", "image_key") if c in images.columns]
+    tie = [c for c in ("n", "pos", "image_key", "uri") if c in images.columns]
     last = F.max_by(F.struct(*rest), F.struct(*tie)).alias("_last")
     return images.groupBy("series", "file_name").agg(last).select(
         "series", "file_name", *[F.col(f"_last.{c}").alias(c) for c in rest]
