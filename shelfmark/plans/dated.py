@@ -14,7 +14,7 @@ from shelfmark.functions import dates, media
 from shelfmark.functions.paths import file_name, parse_series_name, rendered_name
 from shelfmark.operators import change, copies, naming, scanning, series, siblings
 from shelfmark.session import cut
-from shelfmark.skew import UNCOUNTED, hot_key_sets, refined, salted_join
+from shelfmark.skew import UNCOUNTED, hot_key_sets, hot_keys, merged, refined, salted_join
 
 # Columns read from file contents; a table without one has it null.
 METADATA_COLUMNS = {
@@ -147,13 +147,16 @@ def day_series(albums: DataFrame) -> DataFrame:
     return series.series_prefix(numbered)
 
 
-def series_images(images: DataFrame, prefix: DataFrame) -> DataFrame:
-    # An album holds at most its capacity, so its key is never hot.
+def series_images(
+    images: DataFrame, prefix: DataFrame, hot: DataFrame | None | object = UNCOUNTED
+) -> DataFrame:
     """(series, file_name, md5, uri, album_key): names held in each series.
 
     `images` holds (album_key, file_name, md5, uri).
     """
-    placed = images.join(prefix.select("album_key", "series", "n"), "album_key")
+    placed = salted_join(
+        images, prefix.select("album_key", "series", "n"), ["album_key"], "inner", hot=hot, spread=["uri"]
+    )
     return naming.latest_by_name(placed.select("series", "file_name", "n", "md5", "uri", "album_key"))
 
 
@@ -224,7 +227,11 @@ def plan_dated(
     scanned = with_dates(scan(checked, options, hot_file["stem"]), options)
     prepared = cut(_classified(scanned, hashes, options, hot_content), "prepared")
     prefix = cut(day_series(albums), "series")
-    hot = hot_key_sets(prepared, {"day": ["series"], "previous": ["prev_image_uri"]})
+    hot = hot_key_sets(prepared, {
+        "day": ["series"], "previous": ["prev_image_uri"],
+        "old_album": ["prev_album_key"], "known_album": ["known_album_key"],
+    })
+    hot_images = hot_keys(images, ["album_key"])
     hot_name = refined(hot["day"], prepared, ["series", "file_name"])
     uploads = prepared.where(F.col("kind") == "upload")
     leaders, followers = _led(uploads, hot_content)
@@ -245,7 +252,7 @@ def plan_dated(
         .when(F.col("prev_image_uri").isNotNull() & (F.col("refs") <= 1) & ~no_previous, "replaced")
         .otherwise("name"),
     ).drop("refs")
-    remote = series_images(images, prefix)
+    remote = series_images(images, prefix, hot_images)
     named = naming.resolve_names(
         judged.where(F.col("fate") == "name").withColumnRenamed("send_md5", "md5"), remote, hot=hot_name
     ).withColumnRenamed("md5", "send_md5")
@@ -350,7 +357,8 @@ def plan_dated(
             created=~full & F.col("created"),
         ),
     ]
-    return _with_album_names(reduce(DataFrame.unionByName, parts), albums)
+    hot_album = merged("album_key", hot["old_album"], hot["known_album"], hot_images)
+    return _with_album_names(reduce(DataFrame.unionByName, parts), albums, hot_album)
 
 
 def _led(uploads: DataFrame, hot: DataFrame | None) -> tuple[DataFrame, DataFrame]:
@@ -362,15 +370,13 @@ def _led(uploads: DataFrame, hot: DataFrame | None) -> tuple[DataFrame, DataFram
     )
 
 
-def _with_album_names(actions: DataFrame, albums: DataFrame) -> DataFrame:
-    """Names the album of actions that only know its key.
-
-    Only those take part in the join, and an album holds no more than its
-    capacity, so neither null nor any key is hot.
-    """
+def _with_album_names(actions: DataFrame, albums: DataFrame, hot: DataFrame | None) -> DataFrame:
+    """Names the album of actions that only know its key; others skip the join."""
     names = albums.select("album_key", F.col("name").alias("_name"))
     unnamed = F.col("album_name").isNull() & F.col("album_key").isNotNull()
-    joined = actions.where(unnamed).join(names, "album_key", "left").withColumn("album_name", F.col("_name"))
+    joined = salted_join(
+        actions.where(unnamed), names, ["album_key"], "left", hot=hot, spread=["path"]
+    ).withColumn("album_name", F.col("_name"))
     return actions.where(~unnamed).unionByName(joined.select(*ACTION_COLUMNS))
 
 

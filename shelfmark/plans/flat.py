@@ -12,7 +12,7 @@ from shelfmark.functions import media
 from shelfmark.functions.paths import file_name, rendered_name
 from shelfmark.operators import change, copies, naming, remote, scanning, series, siblings
 from shelfmark.session import cut
-from shelfmark.skew import hot_key_sets, salted_join
+from shelfmark.skew import hot_key_sets, hot_keys, salted_join
 
 ACTION_COLUMNS = ["path", "action", "album_name", "target_name", "image_uri", "reason", "size"]
 
@@ -51,12 +51,14 @@ def plan_flat(
         "name": ["file_name"], "send": ["send_name"], "sha": ["sha256"], "md5": ["check_md5"],
     })
     prefix = series.series_prefix(albums.where(F.col("series") == options.series))
+    hot_images = hot_keys(images, ["album_key"])
+    in_series = salted_join(
+        images, prefix.select("album_key", "series", "n"), ["album_key"], "inner", hot=hot_images, spread=["uri"]
+    )
     held = naming.latest_by_name(
-        images.join(prefix.select("album_key", "series", "n"), "album_key")
-        .select("series", "file_name", "n", "md5", "uri", "album_key")
+        in_series.select("series", "file_name", "n", "md5", "uri", "album_key")
     ).select("file_name", "md5", "uri")
-    # An album holds at most its capacity, so its key is never hot.
-    contents = images.join(prefix.select("album_key"), "album_key", "left_semi").where(F.col("md5").isNotNull()).select(F.lower("md5").alias("check_md5")).distinct()
+    contents = in_series.where(F.col("md5").isNotNull()).select(F.lower("md5").alias("check_md5")).distinct()
 
     known = hashes.limit(0) if options.no_cache else hashes
     collecting = remote.plan_collects(listed, prefix, held, known, hot["name"], hot["sha"])

@@ -14,6 +14,7 @@ it as `hot` to count once, early, and not again after every join.
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -79,6 +80,17 @@ def refined(hot: DataFrame | None, df: DataFrame, keys: Sequence[str], hot_rows:
     return None if hot is None else hot_keys(df, keys, hot_rows)
 
 
+def merged(key: str, *sets: DataFrame | None) -> DataFrame | None:
+    """Hot keys of a table whose rows come from several; each set's one key
+    column is taken as `key`.  Bounded as the sets are."""
+    known = [s.select(F.col(s.columns[0]).alias(key), "hot_n", "slices") for s in sets if s is not None]
+    if not known:
+        return None
+    return reduce(DataFrame.unionByName, known).groupBy(key).agg(
+        F.sum("hot_n").alias("hot_n"), F.max("slices").alias("slices")
+    )
+
+
 def with_hot(df: DataFrame, hot: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
     """Left join of a bounded per-hot-key table; null keys match null keys."""
     renamed = hot.select(*[F.col(k).alias(f"_hot_{k}") for k in keys], *columns)

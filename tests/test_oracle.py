@@ -24,5 +24,11 @@ def test_query(spark, connection, name):
         assert queries()[name](spark, FOLDER).count() > 0
 
 
+@pytest.mark.parametrize("name", ["plan_dated", "plan_flat", "caption_jobs", "duplicate_groups_in_parts", "resolve_paths", "batches"])
+def test_query_with_nearly_every_key_hot(spark, connection, name, monkeypatch):
+    monkeypatch.setattr("shelfmark.skew.HOT_ROWS", 3)
+    assert differences(spark, connection, FOLDER, queries()[name], oracle_sql()[name]) is None
+
+
 def test_entry(spark):
     assert entry(spark).columns[:2] == ["path", "action"]
