@@ -48,6 +48,8 @@ def stream_plan(
 
     Batches never overlap.  State version n + 1 is written by batch n from
     version n, so a batch done again after a failure gives the same version.
+    The folder belongs to this stream and its checkpoint: to go on from other
+    state, write that as version 0 before the first start.
     """
     spark = files.sparkSession
 
