@@ -74,7 +74,8 @@ def encode(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     total = int(passages.sum())
     classes = np.bincount(passage * _CLASSES + kind, minlength=total * _CLASSES).reshape(total, _CLASSES).astype(np.float32)
     pair = (data[:-1].astype(np.uint32) * 2654435 + data[1:].astype(np.uint32) * 40503) * np.uint32(2246822519)
-    pairs = np.bincount(passage[:-1] * _BUCKETS + (pair >> np.uint32(25)), minlength=total * _BUCKETS).reshape(total, _BUCKETS).astype(np.float32)
+    own = np.delete(np.arange(len(data) - 1), ends[:-1] - 1)  # no pair reaches into the next text
+    pairs = np.bincount(passage[own] * _BUCKETS + (pair[own] >> np.uint32(25)), minlength=total * _BUCKETS).reshape(total, _BUCKETS).astype(np.float32)
     out = np.zeros((total, DIMENSIONS), np.float32)
     size = np.maximum(classes.sum(1), 1)
     out[:, :_CLASSES] = classes / size[:, None]
