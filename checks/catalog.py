@@ -28,6 +28,24 @@ def _(t):
     return _closed(t).select("uri", F.col("depth").cast("bigint").alias("depth"), "path")
 
 
+# Suppliers as folders one inside the other, each with an album.
+@check("node_closure_of_a_long_chain", """
+SELECT concat('/c/', cast(s_suppkey + 1 AS varchar)) AS uri, s_suppkey + 1 AS depth, s_suppkey + 2 AS links FROM supplier
+UNION ALL SELECT concat('/c/a', cast(s_suppkey + 1 AS varchar)), s_suppkey + 2, s_suppkey + 3 FROM supplier
+UNION ALL SELECT '/c/0', 0, 1
+""")
+def _(t):
+    key = (F.col("s_suppkey") + 1).cast("string")
+    node = lambda uri, parent, kind: t.supplier.select(uri.alias("uri"), parent.alias("parent_uri"), "s_name", F.lit(kind).alias("node_type"))
+    nodes = (
+        node(F.concat(F.lit("/c/"), key), F.concat(F.lit("/c/"), F.col("s_suppkey").cast("string")), "Folder")
+        .unionByName(node(F.concat(F.lit("/c/a"), key), F.concat(F.lit("/c/"), key), "Album"))
+        .unionByName(t.supplier.agg(F.lit("/c/0").alias("uri"), F.lit(None).cast("string").alias("parent_uri"), F.lit("").alias("s_name"), F.lit("Folder").alias("node_type")))
+        .withColumnRenamed("s_name", "name").withColumn("pos", F.lit(0))
+    )
+    return tree.node_closure(nodes).select("uri", F.col("depth").cast("bigint").alias("depth"), F.size("chain").cast("bigint").alias("links"))
+
+
 @check("tree_order", f"""
 WITH RECURSIVE {_CLOSURE}
 SELECT uri, order_key, row_number() OVER (PARTITION BY parent_uri ORDER BY pos DESC, uri DESC) = 1 AS is_last FROM closure
@@ -264,19 +282,20 @@ def _(t):
     return search.recent_images(t.images).select("image_key", "upload_seq")
 
 
-@check("listing_order", "SELECT image_key, file_name FROM v_images ORDER BY file_name DESC, image_key LIMIT 50")
+@check("listing_order", "SELECT image_key, file_name, row_number() OVER (ORDER BY file_name DESC, image_key) AS position FROM v_images")
 def _(t):
-    return search.listing_order(t.images, "Filename", "Descending").limit(50).select("image_key", "file_name")
+    listed = search.with_position(search.listing_order(t.images, "Filename", "Descending"))
+    return listed.select("image_key", "file_name", "position")
 
 
-@check("listing_order_by_date_taken", "SELECT image_key FROM v_images ORDER BY taken, image_key LIMIT 50")
+@check("listing_order_by_date_taken", "SELECT image_key, row_number() OVER (ORDER BY taken, image_key) AS position FROM v_images")
 def _(t):
-    return search.listing_order(t.images, "Date Taken").limit(50).select("image_key")
+    return search.with_position(search.listing_order(t.images, "Date Taken")).select("image_key", "position")
 
 
-@check("folder_listing_order", "SELECT uri, name FROM v_nodes ORDER BY name, uri LIMIT 30")
+@check("folder_listing_order", "SELECT uri, name, row_number() OVER (ORDER BY name, uri) AS position FROM v_nodes")
 def _(t):
-    return search.folder_listing_order(t.nodes).limit(30).select("uri", "name")
+    return search.with_position(search.folder_listing_order(t.nodes)).select("uri", "name", "position")
 
 
 _KEYWORDS = """
@@ -355,6 +374,15 @@ def _pages(t):
     return grouped.select("page", F.when(F.col("page") % 5 == 4, F.to_json(F.struct(bare.alias("Response")))).otherwise(F.to_json(full)).alias("json"))
 
 
+# Names without padding, of which the tenth comes after the ninth.
+@check("limit_pages_by_number", "SELECT c_custkey AS \"Key\" FROM customer WHERE (c_custkey // 10) % 5 <> 4 ORDER BY c_custkey LIMIT 99")
+def _(t):
+    item = F.struct(F.col("c_custkey").alias("Key"), F.struct(F.col("c_acctbal").cast("decimal(10,2)").alias("Sum")).alias("Account"))
+    pages = t.customer.groupBy(F.floor(F.col("c_custkey") / 10).alias("n")).agg(F.sort_array(F.collect_list(item)).alias("Node")).where("n % 5 <> 4")
+    held = pages.select(F.concat(F.lit("page-"), F.col("n").cast("string"), F.lit(".json")).alias("page"), F.to_json(F.struct(F.struct("Node").alias("Response"))).alias("json"))
+    return listing_items(held, "Node", "Key bigint, Account struct<Sum: decimal(10,2)>", limit=99).select("Key")
+
+
 @check("listing_pages", "SELECT c_custkey AS \"Key\", c_name AS \"Name\" FROM customer WHERE (c_custkey // 40) % 5 <> 4")
 def _(t):
     return listing_items(_pages(t), "Node", "Key bigint, Name string").select("Key", "Name")

@@ -5,8 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from checks.catalog import _DRIFT, _closed, _first_region
+from checks.columns import AS_OF
+from checks.plans import images as listed_images
+from checks.plans import inventory as inventory_with_content
 from checks.registry import check
 from shelfmark.operators import change, reports, tree
+from shelfmark.plans import dated
 from shelfmark.session import scratch_dir
 from shelfmark.sources import inventory, listing, state
 from shelfmark.streaming import jobs
@@ -78,30 +82,83 @@ def _collected(t, stream, mode="append"):
     return t.spark.read.parquet(out)
 
 
-@check("stream_dedup", "SELECT DISTINCT sha256 FROM v_dated")
+def _folders(t, *names):
+    return [scratch_dir(t.spark, name) for name in names]
+
+
+# Which path leads follows the order of arrival; that one leads, and all follow it, does not.
+@check("stream_dedup", """
+SELECT path, sha256, cast(1 AS bigint) AS leaders, count(*) OVER (PARTITION BY sha256) AS told FROM v_dated
+""")
 def _(t):
-    return _collected(t, jobs.stream_dedup(_stream(t, t.dated.select("path", "sha256")))).select("sha256")
+    leaders, told, progress = _folders(t, "leaders", "told", "progress")
+    jobs.stream_dedup(_stream(t, t.dated.select("path", "sha256")), leaders, told, progress).awaitTermination()
+    rows = t.spark.read.parquet(told)
+    groups = rows.groupBy("sha256").agg(
+        F.count_distinct("leader").alias("leaders"), F.count("*").alias("told"), F.sum(F.col("is_leader").cast("int")).alias("_leading"),
+    ).where("_leading = 1")
+    return rows.join(groups, "sha256").select("path", "sha256", "leaders", "told")
 
 
 @check("stream_day_counts", """
 SELECT strftime(day, '%Y-%m-%d') AS day, date_source, count(*) AS files FROM v_dated GROUP BY day, date_source
 """)
 def _(t):
-    counts = jobs.stream_day_counts(_stream(t, t.dated.select("path", "day", "date_source")))
-    return _collected(t, counts, "complete").withColumn("day", F.col("day").cast("string"))
-
-
-# Each file arrives as it is recorded, and as it is now, in either order.
+    # In steps, the newest days first, each batch giving what it changed.
+    days = t.dated.select("path", "day", "date_source")
+    folder, out, progress = _folders(t, "arriving", "given", "progress")
+    for low, high in ((2016, 9999), (2015, 2016), (0, 2015)):
+        days.where((F.year("day") >= low) & (F.year("day") < high)).write.mode("append").parquet(folder)
+        counts = jobs.stream_day_counts(t.spark.readStream.schema(days.schema).parquet(folder))
+        writer = counts.writeStream.outputMode("update").option("checkpointLocation", progress).trigger(availableNow=True)
+        writer.foreachBatch(lambda batch, n: batch.write.mode("overwrite").parquet(f"{out}/batch={n}")).start().awaitTermination()
+    last = t.spark.read.parquet(out).groupBy("day", "date_source").agg(F.max_by("files", "batch").alias("files"))
+    return last.withColumn("day", F.col("day").cast("string"))
+
+
+# Each file arrives as it is recorded, some having been refused, and then as it is now.
 @check("stream_change_detect", """
-SELECT f.path, CASE WHEN s.path IS NULL THEN 'new' WHEN s.size = f.size AND s.mtime_ns = f.mtime_ns THEN 'unchanged'
+SELECT f.path, CASE WHEN s.path IS NULL THEN 'new' WHEN s.size = f.size AND s.mtime_ns = f.mtime_ns THEN CASE WHEN s.failed IS NULL THEN 'unchanged' ELSE 'refused' END
                     WHEN s.sha256 = f.sha256 THEN 'touched' ELSE 'changed' END AS status
 FROM v_files f LEFT JOIN v_state s ON s.path = f.path
 UNION ALL SELECT path, 'new' FROM v_state
 """)
 def _(t):
-    columns = ["path", "size", "mtime_ns", "sha256"]
-    arrivals = t.state.select(*columns).unionByName(t.files.select(*columns))
-    return _collected(t, jobs.stream_change_detect(_stream(t, arrivals))).select("path", "status")
+    columns = ["path", "size", "mtime_ns", "sha256", "failed"]
+    folder, records, told, progress = _folders(t, "arriving", "records", "told", "progress")
+    for part in (t.state.select(*columns), t.files.withColumn("failed", F.lit(None).cast("string")).select(*columns)):
+        part.write.mode("append").parquet(folder)
+        source = t.spark.readStream.schema(part.schema).parquet(folder)
+        jobs.stream_change_detect(source, records, told, progress).awaitTermination()
+    return t.spark.read.parquet(told).select("path", "status")
+
+
+# Which batch a file comes in decides its album and name; what no order may break does not.
+@check("stream_plan", """
+SELECT count(*) AS files, cast(0 AS bigint) AS names_given_twice, cast(0 AS bigint) AS albums_overfull, cast(0 AS bigint) AS contents_sent_twice, cast(0 AS bigint) AS copies_collected_to_their_own_day
+FROM v_files WHERE ext <> 'xmp'
+""")
+def _(t):
+    state_folder, actions_folder, progress = _folders(t, "state", "actions", "progress")
+    options = dated.DatedOptions(as_of=AS_OF, root="/lib", capacity=5, raw_handling="upload")
+    albums = t.albums.select("album_key", "name", F.least("image_count", F.lit(3)).alias("image_count"))
+    source = _stream(t, inventory_with_content(t), files=2)
+    jobs.stream_plan(source, state_folder, actions_folder, albums, listed_images(t), options, progress).awaitTermination()
+    done = t.spark.read.parquet(actions_folder)
+    sent = done.where("action = 'uploaded'")
+    held = sent.select("album_name", "target_name").unionByName(
+        listed_images(t).join(albums, "album_key").select(F.col("name").alias("album_name"), F.col("file_name").alias("target_name")).distinct())
+    twice = held.groupBy("album_name", "target_name").count().where("count > 1")
+    filled = done.where("action IN ('uploaded', 'collected')").groupBy("album_name").count().join(
+        albums.groupBy(F.col("name").alias("album_name")).agg(F.max("image_count").alias("_had")), "album_name", "left"
+    ).where("count + coalesce(_had, 0) > 5")
+    again = sent.groupBy("sha256").count().where("count > 1")
+    own_day = done.where("action = 'collected'").join(sent.select("sha256", "day"), ["sha256", "day"], "left_semi")
+    one = lambda frame: frame.agg(F.count("*")).scalar()
+    return done.agg(F.count("*").alias("files")).select(
+        "files", one(twice).alias("names_given_twice"), one(filled).alias("albums_overfull"),
+        one(again).alias("contents_sent_twice"), one(own_day).alias("copies_collected_to_their_own_day"),
+    )
 
 
 @check("stream_assign_slots", """

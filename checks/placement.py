@@ -172,12 +172,13 @@ f AS (SELECT *, row_number() OVER (PARTITION BY file_name ORDER BY seq) - 1 AS r
              CASE WHEN contains(file_name, '.') THEN regexp_extract(file_name, '\\.[^.]*$') ELSE '' END AS dot FROM d),
 c AS (SELECT DISTINCT f.stem, f.dot, k, concat(f.stem, {_COUNTED}, f.dot) AS name FROM f, (SELECT unnest(range(1, 101)) AS k) n WHERE r > 0),
 free AS (SELECT stem, dot, name, row_number() OVER (PARTITION BY stem, dot ORDER BY k) AS r FROM c WHERE name NOT IN (SELECT file_name FROM d))
-SELECT f.image_key, CASE WHEN f.r = 0 THEN f.file_name WHEN length(coalesce(free.name, repeat('x', 300))) > 255 THEN 'none' ELSE free.name END AS target_name
+SELECT f.image_key, CASE WHEN f.r = 0 THEN f.file_name WHEN length(coalesce(free.name, repeat('x', 300))) <= 255 THEN free.name
+  ELSE concat(left(f.stem, 40), '_', md5(concat_ws('|', f.file_name, cast(f.seq AS varchar), f.image_key)), left(f.dot, 10)) END AS target_name
 FROM f LEFT JOIN free ON free.stem = f.stem AND free.dot = f.dot AND free.r = f.r AND f.r > 0
 """)
 def _(t):
     named = naming.unique_download_names(t.sql(_DOWNLOADS), ["seq", "image_key"])
-    return named.select("image_key", F.coalesce("target_name", F.lit("none")).alias("target_name"))
+    return named.select("image_key", "target_name")
 
 
 _LISTED = """
@@ -211,11 +212,13 @@ def _(t):
 
 @check("plan_collects", """
 SELECT f.path, CASE WHEN n.file_name IS NULL AND a.album_key IS NULL AND h.uri IS NOT NULL THEN h.uri ELSE '' END AS collect_uri
-FROM v_files f LEFT JOIN (SELECT DISTINCT file_name FROM v_images WHERE format = 'JPG' OR format = 'MOV') n ON n.file_name = f.file_name
+FROM v_files f LEFT JOIN (SELECT DISTINCT CASE WHEN format = 'JPG' OR format = 'MOV' THEN file_name ELSE concat('~', file_name) END AS file_name FROM v_images) n ON n.file_name = f.file_name
 LEFT JOIN v_hashes h ON h.sha256 = f.sha256 LEFT JOIN v_albums a ON a.album_key = h.album_key
 """)
 def _(t):
-    names = t.images.where("format = 'JPG' OR format = 'MOV'")
+    # Images of other formats are listed under names that no file has.
+    renamed = F.when(F.col("format").isin("JPG", "MOV"), F.col("file_name")).otherwise(F.concat(F.lit("~"), "file_name"))
+    names = t.images.withColumn("file_name", renamed)
     planned = remote.plan_collects(t.files, t.albums, names, t.hashes)
     return planned.select("path", F.coalesce("collect_uri", F.lit("")).alias("collect_uri"))
 
@@ -226,7 +229,9 @@ FROM v_images i LEFT JOIN v_albums a ON a.album_key = i.album_key AND a.image_co
 """)
 def _(t):
     images = t.images.withColumn("file_name", F.when(F.col("upload_seq") % 5 == 0, "").otherwise(F.col("file_name")))
-    shown = remote.images_with_album_name(images, t.albums.where("image_count > 1"))
+    # Albums of one image have keys that no image names.
+    key = F.when(F.col("image_count") > 1, F.col("album_key")).otherwise(F.concat(F.lit("~"), "album_key"))
+    shown = remote.images_with_album_name(images, t.albums.withColumn("album_key", key))
     return shown.select("image_key", "album_name", "shown_name")
 
 

@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 from checks.columns import AS_OF, _EXIF, _VIDEO_DATE
 from checks.registry import check
-from shelfmark.operators import reports
+from shelfmark.operators import change, reports
 from shelfmark.plans import dated, flat, transfers
+from shelfmark.session import cut
 
 OPTIONS = dated.DatedOptions(as_of=AS_OF, root="/lib", capacity=5)
 
@@ -124,11 +125,36 @@ SELECT count(*) AS scanned, count(*) FILTER (action = 'unchanged') AS unchanged,
        count(*) FILTER (action = 'touched') AS touched, count(*) FILTER (action = 'uploaded') AS uploaded, count(*) FILTER (action = 'replaced') AS replaced,
        count(*) FILTER (action = 'linked') AS linked, count(*) FILTER (action = 'collected') AS collected, count(*) FILTER (action = 'failed') AS failed,
        count(*) FILTER (action = 'refused') AS refused, cast(coalesce(sum(size) FILTER (action IN ('uploaded', 'replaced')), 0) AS bigint) AS bytes_uploaded,
-       count(DISTINCT CASE WHEN created THEN album_name END) AS albums_created
+       count(DISTINCT CASE WHEN created THEN album_name END) AS albums_created,
+       (SELECT count(*) FROM v_state WHERE image_uri IS NOT NULL AND length(path) % 5 > 1) AS captioned, (SELECT count(*) FROM v_state WHERE image_uri IS NOT NULL AND length(path) % 5 = 0) AS vanished,
+       (SELECT count(*) FROM v_state WHERE image_uri IS NOT NULL AND length(path) % 5 = 1) AS caption_failed,
+       (SELECT count(*) FROM v_files WHERE ext = 'xmp') AS unsupported, (SELECT count(*) FROM kept WHERE __RENDERS__) AS raw_rendered,
+       cast(0 AS bigint) AS raw_skipped, (SELECT count(*) FROM listed) - (SELECT count(*) FROM kept) AS raw_skipped_with_sibling,
+       (SELECT count(*) FROM kept WHERE ext IN ('mov','mp4') AND still IS NOT NULL) AS live_photo_videos, cast(0 AS bigint) AS live_photo_videos_skipped
 FROM acts
+""".replace("__RENDERS__", _RENDERS))
+def _(t):
+    kind = F.length("path") % 5
+    captions = t.state.where("image_uri IS NOT NULL").select(F.when(kind == 0, "gone").when(kind == 1, "failed").otherwise("ok").alias("outcome"))
+    return dated.run_report(inventory(t), _plan(t), OPTIONS, captions=captions)
+
+
+# The state that a plan leads to, planned against once more: nothing is left to do but what failed.
+@check("plan_again", _PLAN + """
+SELECT path, CASE WHEN action = 'failed' THEN 'retried' ELSE 'unchanged' END AS again FROM acts
 """)
 def _(t):
-    return reports.run_summary(_plan(t))
+    files = inventory(t)
+    actions = cut(dated.with_album_keys(_plan(t), t.albums), "first-plan")
+    after = change.apply_outcomes(t.state, dated.outcomes_of(actions))
+    hashes = change.apply_hash_outcomes(t.hashes.withColumn("original_path", F.lit(None).cast("string")), dated.hash_outcomes_of(actions))
+    albums, sent = dated.catalog_changes(actions, t.albums)
+    counts = t.albums.select("album_key", "name", "image_count").unionByName(albums)
+    counts = counts.groupBy("album_key").agg(F.min("name").alias("name"), F.sum("image_count").alias("image_count"))
+    kept = images(t).join(sent.select("uri"), "uri", "left_anti").unionByName(sent)
+    again = dated.plan_dated(files, after, hashes, counts, kept, OPTIONS).select("path", F.col("action").alias("_again"))
+    told = F.when(F.col("action") == "failed", "retried").otherwise(F.col("_again"))
+    return actions.select("path", "action").join(again, "path").select("path", told.alias("again"))
 
 
 @check("summary_maps", _PLAN + """
@@ -216,6 +242,46 @@ def _(t):
     return planned.select("path", "action", text("album_name"), text("target_name"), text("image_uri"))
 
 
+# Every directory has a series of its own, of one album with those images of the directory's files that are listed.
+_DIR_ALBUMS = "SELECT concat('/lib/', dir) AS series, 1 AS n, count(*) AS cnt, concat('D', dir) AS album_key FROM v_files WHERE doc_id % 3 <> 2 GROUP BY dir"
+_DIR_IMAGES = """
+SELECT concat('D', f.dir) AS album_key, i.file_name, i.archived_md5 AS md5, concat('/i/', i.image_key) AS uri
+FROM v_images i JOIN v_files f ON concat(cast(f.doc_id AS varchar), '-0') = i.image_key
+"""
+_DIR_HASHES = "SELECT h.sha256, h.uri, concat('D', min(f.dir)) AS album_key FROM v_hashes h JOIN v_files f ON f.sha256 = h.sha256 GROUP BY h.sha256, h.uri"
+
+
+@check("plan_mirrored", f"""
+WITH a AS ({_DIR_ALBUMS}), di AS ({_DIR_IMAGES}), dh AS ({_DIR_HASHES}),
+i AS (SELECT a.series, di.file_name, lower(di.md5) AS md5, di.uri FROM di JOIN a ON a.album_key = di.album_key),
+held AS (SELECT series, file_name, md5, uri FROM (SELECT *, row_number() OVER (PARTITION BY series, file_name ORDER BY uri DESC) AS r FROM i) x WHERE r = 1),
+listed AS (SELECT f.*, concat('/lib/', dir) AS series, {_RENDERS} AS renders, min(CASE WHEN {_RENDERS} THEN path END) OVER s AS first_render, bool_or(ext IN ('jpg','jpeg','heic','heif')) OVER s AS camera
+           FROM v_files f WHERE ext <> 'xmp' WINDOW s AS (PARTITION BY dir, stem_lc)),
+kept AS (SELECT *, CASE WHEN renders THEN concat(regexp_extract(file_name, '^(.*)\\.[^.]*$', 1), '.jpg') ELSE file_name END AS send_name
+         FROM listed WHERE NOT renders OR (NOT camera AND path = first_render)),
+j AS (SELECT k.*, h.uri AS known_uri, coalesce(ha.series = k.series, false) AS known_here, o.file_name IS NOT NULL AS named, o.md5 AS held_md5, o.uri AS held_uri, s.file_name IS NOT NULL AS send_held
+      FROM kept k LEFT JOIN dh h ON h.sha256 = k.sha256 LEFT JOIN a ha ON ha.album_key = h.album_key
+      LEFT JOIN held o ON o.series = k.series AND o.file_name = k.file_name LEFT JOIN held s ON s.series = k.series AND s.file_name = k.send_name),
+d AS (SELECT *, CASE WHEN known_uri IS NOT NULL AND NOT known_here AND NOT named THEN 'collected' WHEN known_uri IS NOT NULL OR (renders AND send_held) OR (NOT renders AND held_md5 = md5) THEN 'skipped'
+                     WHEN NOT renders AND named THEN 'replaced' ELSE 'uploaded' END AS act FROM j),
+e AS (SELECT *, CASE WHEN act IN ('uploaded', 'replaced') AND path <> min(path) FILTER (act IN ('uploaded', 'replaced')) OVER (PARTITION BY sha256) THEN 'skipped' ELSE act END AS action FROM d),
+t AS (SELECT path, series, row_number() OVER (PARTITION BY series ORDER BY CASE action WHEN 'collected' THEN 0 ELSE 1 END, path) AS r FROM e WHERE action IN ('collected', 'uploaded')),
+room AS (SELECT t.path, r, CASE WHEN a.series IS NULL THEN 0 ELSE 1 END AS existing, CASE WHEN a.series IS NULL THEN 0 ELSE greatest(60 - cnt, 0) END AS room FROM t LEFT JOIN a ON a.series = t.series),
+slot AS (SELECT path, CASE WHEN r <= room THEN 1 ELSE existing + cast(ceil((r - room) / 60.0) AS bigint) END AS n FROM room)
+SELECT e.path, e.action, CASE WHEN slot.n IS NULL THEN '' WHEN slot.n = 1 THEN e.series ELSE concat(e.series, ' (', cast(slot.n AS varchar), ')') END AS album_name,
+       CASE WHEN e.action IN ('uploaded', 'replaced') THEN send_name ELSE '' END AS target_name,
+       CASE e.action WHEN 'collected' THEN known_uri WHEN 'replaced' THEN held_uri ELSE '' END AS image_uri
+FROM e LEFT JOIN slot ON slot.path = e.path
+""")
+def _(t):
+    planned = flat.plan_mirrored(t.files, t.sql(_DIR_ALBUMS), t.sql(_DIR_IMAGES), t.sql(_DIR_HASHES), flat.FlatOptions(capacity=60))
+
+    def text(name):
+        return F.coalesce(name, F.lit("")).alias(name)
+
+    return planned.select("path", "action", text("album_name"), text("target_name"), text("image_uri"))
+
+
 _DETAILS = "SELECT image_key, upload_seq % 3 AS has FROM v_images"
 
 
@@ -228,10 +294,10 @@ def _downloads(t):
 
 # The first image of a name keeps it; no name has a counted form of its own here.
 _COUNTED = "list_reduce(list_transform(range(1, r), lambda i: concat('_', cast(i AS varchar))), lambda a, b: concat(a, b))"
+_CHAINED = f"concat(regexp_extract(name, '^(.*)\\.[^.]*$', 1), {_COUNTED}, regexp_extract(name, '\\.[^.]*$'))"
 _NAMED = f"""
-SELECT image_key, url, CASE WHEN r = 1 THEN name WHEN r > 90 THEN 'none' ELSE coalesce(nullif(
-  CASE WHEN length(concat(regexp_extract(name, '^(.*)\\.[^.]*$', 1), {_COUNTED}, regexp_extract(name, '\\.[^.]*$'))) > 255 THEN 'none'
-       ELSE concat(regexp_extract(name, '^(.*)\\.[^.]*$', 1), {_COUNTED}, regexp_extract(name, '\\.[^.]*$')) END, ''), 'none') END AS target_name
+SELECT image_key, url, CASE WHEN r = 1 THEN name WHEN r <= 90 AND length({_CHAINED}) <= 255 THEN {_CHAINED}
+  ELSE concat(left(regexp_extract(name, '^(.*)\\.[^.]*$', 1), 40), '_', md5(concat_ws('|', name, cast(upload_seq AS varchar), image_key)), left(regexp_extract(name, '\\.[^.]*$'), 10)) END AS target_name
 FROM (SELECT *, row_number() OVER (PARTITION BY name ORDER BY upload_seq, image_key) AS r FROM w) x
 """
 _ALLOWED = "SELECT i.* FROM v_images i JOIN v_albums a ON a.album_key = i.album_key WHERE coalesce(a.allow_downloads, true)"

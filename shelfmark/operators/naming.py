@@ -58,16 +58,16 @@ def resolve_names(
     claims = files.groupBy(*name_key).agg(first.alias("_claim"))
     claimed = claims.join(remote.withColumn("_remote", F.lit(True)), name_key, "full_outer")
     # Who holds each name once own names are given out.
-    held = claimed.select(
+    held = cut(claimed.select(
         *name_key,
         F.when(F.col("_remote"), F.col("_md5")).otherwise(F.col("_claim.md5")).alias("_md5"),
         F.when(F.col("_uri") != "", F.col("_uri")).alias("_uri"),
         "_album",
         F.when(F.col("_remote").isNull(), F.col("_claim.path")).alias("_holder"),
-    )
+    ), "held")
     if hot is UNCOUNTED:
         hot = hot_keys(files, name_key, hot_rows)
-    checked = salted_join(files, held, name_key, "left", hot=hot, spread=["path"]).withColumn(
+    checked = cut(salted_join(files, held, name_key, "left", hot=hot, spread=["path"]).withColumn(
         "_own",
         F.when(F.col("_holder") == F.col("path"), "own")
         .when(
@@ -75,7 +75,7 @@ def resolve_names(
             "present",
         )
         .otherwise("taken"),
-    )
+    ), "named")
 
     # Names taken that are tagged forms, by what they are forms of.
     tag_key = ["series", "file_name", "_tag"]
@@ -174,17 +174,20 @@ def _suffix(n: Column) -> Column:
 
 # A suffix counting this far is alone longer than a file name may be.
 _LONGEST_COUNT = 100
+# Characters of a stem or extension kept beside a digest: at most four bytes each.
+_KEPT_STEM, _KEPT_EXT = 40, 10
 
 
 def unique_download_names(
     images: DataFrame, order: Sequence[str], name: str = "file_name", hot_rows: int | None = None
 ) -> DataFrame:
-    """Adds `target_name`, and `name_error` where every name left is too long to store.
+    """Adds `target_name`, a name of its own for every image.
 
     The first image of each name keeps it.  The others take, in order, the
     names of their chain (`a_1.jpg`, `a_1_2.jpg`, ...) that no image has as
     its own.  Chains of different names never meet, so one numbering per
-    chain is exact.
+    chain is exact.  Where the name left is too long to store, the image is
+    called by the start of its stem and a digest of what orders it.
     """
     place = F.struct(*[F.col(c) for c in order])
     firsts = images.groupBy(name).agg(F.min(place).alias("_first"))
@@ -217,11 +220,10 @@ def unique_download_names(
     counted_name = F.concat("_stem", _suffix(F.least("_k", F.lit(_LONGEST_COUNT)).cast("int")), dotted)
     wanted = F.when(F.col("_k") == 0, F.col(name)).otherwise(counted_name)
     short = F.octet_length("_wanted") <= C.FILE_NAME_BYTES
+    digest = F.md5(F.concat_ws("|", name, *[F.col(c).cast("string") for c in order]))
+    bounded = F.concat(F.left("_stem", F.lit(_KEPT_STEM)), F.lit("_"), digest, F.left(dotted, F.lit(_KEPT_EXT)))
     return (
         own.unionByName(placed).withColumn("_wanted", wanted)
-        .withColumns({
-            "target_name": F.when(short, F.col("_wanted")),
-            "name_error": F.when(~short, "name too long"),
-        })
-        .select(*images.columns, "target_name", "name_error")
+        .withColumn("target_name", F.when(short, F.col("_wanted")).otherwise(bounded))
+        .select(*images.columns, "target_name")
     )

@@ -18,16 +18,17 @@ def union_catalogs(catalogs: Sequence[DataFrame]) -> DataFrame:
 
 
 def match_remote_name(
-    files: DataFrame, remote: DataFrame, name: str = "file_name", hot: DataFrame | None | object = UNCOUNTED
+    files: DataFrame, remote: DataFrame, name: str = "file_name", hot: DataFrame | None | object = UNCOUNTED,
+    within: Sequence[str] = (),
 ) -> DataFrame:
     """Adds `name_match` (skip, replace or none) and `replaces_uri`.
 
-    `remote` holds (file_name, md5, uri), each name once.
+    `remote` holds (file_name, md5, uri), each name once to the columns `within`.
     """
     listed = remote.select(
-        F.col("file_name").alias(name), F.lower("md5").alias("_md5"), F.col("uri").alias("_uri")
+        *within, F.col("file_name").alias(name), F.lower("md5").alias("_md5"), F.col("uri").alias("_uri")
     ).withColumn("_listed", F.lit(True))
-    joined = salted_join(files, listed, [name], "left", hot=hot, spread=["path"])
+    joined = salted_join(files, listed, [*within, name], "left", hot=hot, spread=["path"])
     same = F.coalesce(F.col("_md5") == F.lower("md5"), F.lit(False))
     match = F.when(F.col("_listed").isNull(), "none").when(same, "skip").otherwise("replace")
     return joined.withColumns({
@@ -45,23 +46,30 @@ def match_remote_content(files: DataFrame, remote: DataFrame) -> DataFrame:
 def plan_collects(
     files: DataFrame, target_albums: DataFrame, target_names: DataFrame, hashes: DataFrame,
     hot_names: DataFrame | None | object = UNCOUNTED, hot_content: DataFrame | None | object = UNCOUNTED,
+    within: Sequence[str] = (),
 ) -> DataFrame:
-    """Adds `collect_uri`: the known image to add to the target, null if none.
+    """Adds `collect_uri`: the known image to add to the target, null if none, and `cached`.
 
     Not collected: files whose name is in the target, of unknown content, or
-    whose known image already is in one of the target's albums.
+    whose known image already is in one of the target's albums.  With several
+    targets, `within` names the columns that tell them apart.
     """
-    elsewhere = hashes.join(target_albums.select("album_key").distinct(), "album_key", "left_anti").select(
-        "sha256", F.col("uri").alias("_collect")
-    )
-    named = target_names.select("file_name").distinct().withColumn("_named", F.lit(True))
+    # Where a known image is: the target that holds its album, null for none.
+    targets = F.struct(F.lit(True).alias("known"), *within)
+    held = target_albums.groupBy("album_key").agg(F.min(targets).alias("_in"))
+    known_content = hashes.join(held, "album_key", "left").select("sha256", F.col("uri").alias("_uri"), "_in")
+    named = target_names.select(*within, "file_name").distinct().withColumn("_named", F.lit(True))
     if hot_content is UNCOUNTED:
         hot_content = hot_keys(files, ["sha256"])
-    checked = salted_join(files, named, ["file_name"], "left", hot=hot_names, spread=["path"])
-    known = salted_join(checked, elsewhere, ["sha256"], "left", hot=hot_content, spread=["path"])
-    return known.withColumn(
-        "collect_uri", F.when(F.col("_named").isNull(), F.col("_collect"))
-    ).drop("_named", "_collect")
+    checked = salted_join(files, named, [*within, "file_name"], "left", hot=hot_names, spread=["path"])
+    known = salted_join(checked, known_content, ["sha256"], "left", hot=hot_content, spread=["path"])
+    here = F.col("_in").isNotNull()
+    for column in within:
+        here = here & (F.col(f"_in.{column}") == F.col(column))
+    return known.withColumns({
+        "collect_uri": F.when(F.col("_named").isNull() & ~F.coalesce(here, F.lit(False)), F.col("_uri")),
+        "cached": F.when(F.col("_uri").isNotNull(), True),
+    }).drop("_named", "_uri", "_in")
 
 
 def images_with_album_name(images: DataFrame, albums: DataFrame) -> DataFrame:

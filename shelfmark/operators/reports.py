@@ -50,13 +50,17 @@ def _total(condition: Column, value: Column) -> Column:
     return F.coalesce(F.sum(F.when(condition, value)), F.lit(0)).cast("bigint")
 
 
-def run_summary(actions: DataFrame) -> DataFrame:
-    """One row of counters from a plan's actions, in one pass."""
+def run_summary(actions: DataFrame, captions: DataFrame | None = None) -> DataFrame:
+    """One row of counters from a plan's actions, in one pass.
+
+    `captions` has a row per image whose caption was set, with `outcome` ok,
+    gone (the image has vanished) or failed.
+    """
     action = F.col("action")
     processed = action != "unchanged"
     counted = ["touched", "uploaded", "replaced", "linked", "collected", "failed", "refused"]
     created = F.count_distinct(F.when(F.col("created"), F.col("album_name")))
-    return actions.agg(
+    counts = actions.agg(
         F.count("*").alias("scanned"),
         F.count_if(action == "unchanged").alias("unchanged"),
         F.count_if((action == "unchanged") & F.col("previously_refused")).alias("previously_refused"),
@@ -66,6 +70,11 @@ def run_summary(actions: DataFrame) -> DataFrame:
         _total(action.isin("uploaded", "replaced"), F.col("size")).alias("bytes_uploaded"),
         created.alias("albums_created"),
     )
+    named = {"captioned": "ok", "vanished": "gone", "caption_failed": "failed"}
+    if captions is None:
+        return counts.withColumns({name: F.lit(0).cast("bigint") for name in named})
+    told = captions.agg(F.struct(*[F.count_if(F.col("outcome") == kind).alias(name) for name, kind in named.items()]))
+    return counts.withColumn("_told", told.scalar()).select("*", "_told.*").drop("_told")
 
 
 def summary_maps(actions: DataFrame) -> DataFrame:

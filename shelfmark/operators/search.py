@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfmark import constants as C
 from shelfmark.functions.dates import parse_bound, stored_span
 from shelfmark.functions.keywords import split_keywords
+from shelfmark.session import cut
 
 
 def search_images(
@@ -80,6 +81,22 @@ def folder_listing_order(nodes: DataFrame, method: str = "Name", direction: str
     return _ordered(nodes, _FOLDER_ORDERS[method], direction, "uri")
 
 
+def with_position(ordered: DataFrame, name: str = "position") -> DataFrame:
+    """Adds each row's place, from 1, in the order of `ordered`, over all of it.
+
+    A sorted table's partitions follow each other, so a row's place is that in
+    its partition plus the rows of earlier ones: no task sees the whole.
+    """
+    placed = cut(ordered.withColumn("_at", F.monotonically_increasing_id()), "ordered")
+    part = F.shiftright("_at", 33)
+    # A row for each partition.
+    parts = placed.groupBy(part.alias("_part")).agg(F.count("*").alias("_rows"))
+    before = F.sum("_rows").over(Window.orderBy("_part")) - F.col("_rows")
+    joined = placed.withColumn("_part", part).join(parts.select("_part", before.alias("_before")), "_part")
+    inner = F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
+    return joined.withColumn(name, F.col("_before") + inner + 1).drop("_at", "_part", "_before")
+
+
 def top_keywords(images: DataFrame, count: int | None = None) -> DataFrame:
     """(keyword, images): most used first, ignoring case, an image counted once."""
     distinct = F.array_distinct(F.transform(split_keywords(F.col("keywords")), lambda k: F.lower(k)))

@@ -15,42 +15,43 @@ from shelfmark.session import cut
 from shelfmark.skew import hot_keys, salted_join
 
 
-def node_closure(nodes: DataFrame, max_depth: int = 100) -> DataFrame:
+def node_closure(nodes: DataFrame) -> DataFrame:
     """Every node below the root with `parts`, `path`, `depth`, `chain`, `places`.
 
     `chain` holds the URIs from the root down and `places` the listing
-    positions.  One join per level, each level written once; a folder with a
-    third of all nodes below it is spread by `salted_join`.
+    positions.  Each node knows its way up to its parent; a round appends the
+    way known to where that ends, so ways double and a tree of depth d takes
+    log2(d) rounds, however deep.  A way that leads to itself, to nothing or to
+    what is no folder belongs to no tree.  A folder with a third of all nodes
+    below it is spread by `salted_join`.
     """
-    strings = F.array().cast("array<string>")
-    level = nodes.where(F.col("parent_uri").isNull()).withColumns({
-        "parts": strings, "depth": F.lit(0), "chain": F.array("uri"),
-        "places": F.array(F.struct(F.col("pos").cast("bigint").alias("pos"), "uri")),
-    })
-    levels = [level]
-    below_root = nodes.where(F.col("parent_uri").isNotNull())
-    hot = hot_keys(below_root, ["parent_uri"])
-    for _ in range(max_depth):
-        parents = level.where(F.col("node_type") == "Folder").select(
-            F.col("uri").alias("parent_uri"), F.col("parts").alias("_parts"), F.col("depth").alias("_depth"),
+    is_root = F.col("parent_uri").isNull()
+    names = F.when(is_root, F.array().cast("array<string>")).otherwise(F.array("name"))
+    place = F.struct(F.col("pos").cast("bigint").alias("pos"), "uri")
+    known = cut(nodes.withColumns({
+        "_up": F.col("parent_uri"), "parts": names, "chain": F.array("uri"), "places": F.array(place),
+    }))
+    closed = [known.where(F.col("_up").isNull())]
+    while True:
+        climbing = known.where(F.col("_up").isNotNull())
+        if climbing.isEmpty():
+            break
+        above = known.where(F.col("node_type") == "Folder").select(
+            F.col("uri").alias("_up"), F.col("_up").alias("_next"), F.col("parts").alias("_parts"),
             F.col("chain").alias("_chain"), F.col("places").alias("_places"),
         )
-        level = cut(
-            salted_join(below_root, parents, ["parent_uri"], "inner", hot=hot, spread=["uri"]).select(
-                *nodes.columns,
-                F.array_append("_parts", F.col("name")).alias("parts"),
-                (F.col("_depth") + 1).alias("depth"),
-                F.array_append("_chain", F.col("uri")).alias("chain"),
-                F.array_append(
-                    "_places", F.struct(F.col("pos").cast("bigint").alias("pos"), "uri")
-                ).alias("places"),
-            )
+        climbed = salted_join(climbing, above, ["_up"], "inner", spread=["uri"]).select(
+            *nodes.columns, F.col("_next").alias("_up"),
+            *[F.concat(f"_{c}", c).alias(c) for c in ("parts", "chain", "places")],
         )
-        if level.isEmpty():
-            break
-        levels.append(level)
-    closed = reduce(DataFrame.unionByName, levels)
-    return closed.withColumn("path", F.array_join("parts", "/"))
+        circles = F.coalesce(F.array_contains("chain", F.col("_up")), F.lit(False))
+        climbed = cut(climbed.where(~circles))
+        closed.append(climbed.where(F.col("_up").isNull()))
+        known = known.where(F.col("_up").isNull()).unionByName(climbed)
+    found = reduce(DataFrame.unionByName, closed)
+    return found.select(
+        *nodes.columns, "parts", (F.size("chain") - 1).alias("depth"), "chain", "places", F.array_join("parts", "/").alias("path")
+    )
 
 
 def tree_order(closure: DataFrame) -> DataFrame:

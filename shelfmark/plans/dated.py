@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from shelfmark import constants as C
 from shelfmark.functions import dates, media
 from shelfmark.functions.paths import file_name, parse_series_name, rendered_name
-from shelfmark.operators import change, copies, naming, scanning, series, siblings
+from shelfmark.operators import change, copies, naming, reports, scanning, series, siblings
 from shelfmark.session import cut
 from shelfmark.skew import UNCOUNTED, hot_key_sets, hot_keys, merged, refined, salted_join
 
@@ -43,6 +43,7 @@ class DatedOptions:
     max_video_minutes: int = C.MAX_VIDEO_MINUTES
     capacity: int = C.ALBUM_CAPACITY
     no_cache: bool = False
+    caption_source: bool = False
 
 
 def not_excluded(files: DataFrame, options: DatedOptions, ignore_rules: DataFrame | None = None) -> DataFrame:
@@ -161,7 +162,7 @@ def series_images(
 
 
 def _classified(dated: DataFrame, hashes: DataFrame, options: DatedOptions, hot: DataFrame | None) -> DataFrame:
-    """Adds `kind` (unchanged, touched, known, refused, upload) and what would be sent."""
+    """Adds `kind` (unchanged, touched, known, refused, same_render, upload) and what would be sent."""
     renders = media.is_renderable(F.col("path")) & F.lit(options.raw_handling == "render")
     known = change.lookup_known(dated, hashes, options.no_cache, hot)
     same_render = renders & F.coalesce(
@@ -172,7 +173,7 @@ def _classified(dated: DataFrame, hashes: DataFrame, options: DatedOptions, hot:
         .when(change.is_touched() & F.lit(not options.no_cache), "touched")
         .when(F.col("known_uri").isNotNull(), "known")
         .when(renders & F.col("render_error").isNotNull(), "refused")
-        .when(same_render, "touched")
+        .when(same_render, "same_render")
         .otherwise("upload")
     )
     return known.select(
@@ -246,12 +247,12 @@ def plan_dated(
         .groupBy(F.col("image_uri").alias("prev_image_uri")).agg(F.sum("refs").alias("refs"))
     )
     no_previous = F.lit(options.no_cache)
-    judged = salted_join(leaders, refs, ["prev_image_uri"], "left", hot=hot["previous"], spread=["path"]).withColumn(
+    judged = cut(salted_join(leaders, refs, ["prev_image_uri"], "left", hot=hot["previous"], spread=["path"]).withColumn(
         "fate",
         F.when(F.col("video_problem").isNotNull(), "refused")
         .when(F.col("prev_image_uri").isNotNull() & (F.col("refs") <= 1) & ~no_previous, "replaced")
         .otherwise("name"),
-    ).drop("refs")
+    ).drop("refs"), "judged")
     remote = series_images(images, prefix, hot_images)
     named = naming.resolve_names(
         judged.where(F.col("fate") == "name").withColumnRenamed("send_md5", "md5"), remote, hot=hot_name
@@ -328,6 +329,11 @@ def plan_dated(
             prepared.where(F.col("kind") == "touched"), "touched",
             image_uri="prev_image_uri", album_key="prev_album_key", uploaded_md5="send_md5",
         ),
+        # Other bytes that render to the image there is: `old_sha256` tells it from one that was only touched.
+        _actions(
+            prepared.where(F.col("kind") == "same_render"), "touched",
+            image_uri="prev_image_uri", album_key="prev_album_key", uploaded_md5="send_md5", old_sha256="prev_sha256",
+        ),
         _actions(prepared.where(F.col("kind") == "refused"), "refused", reason="render_error"),
         _actions(led.where(F.col("fate") == "refused"), "refused", reason="video_problem"),
         _actions(led.where(F.col("fate") == "failed"), "failed", reason=F.lit(C.REASON_NO_FREE_NAME)),
@@ -380,17 +386,79 @@ def _with_album_names(actions: DataFrame, albums: DataFrame, hot: DataFrame | No
     return actions.where(~unnamed).unionByName(joined.select(*ACTION_COLUMNS))
 
 
-def outcomes_of(actions: DataFrame) -> DataFrame:
-    """Planned actions as if all had gone well, for `change.apply_outcomes`."""
+# An album that a plan creates has no key yet; until a listing tells it, its name stands for it.
+_PLANNED = "planned:"
+
+
+def with_album_keys(actions: DataFrame, albums: DataFrame) -> DataFrame:
+    """Actions that name their album get its key: that of the listed album, or one
+    that follows from the name of an album this plan creates."""
+    keys = albums.groupBy(F.col("name").alias("album_name")).agg(F.min("album_key").alias("_key"))
+    unkeyed = F.col("album_key").isNull() & F.col("album_name").isNotNull()
+    joined = salted_join(actions.where(unkeyed), keys, ["album_name"], "left", spread=["path"])
+    keyed = joined.withColumn("album_key", F.coalesce("_key", F.concat(F.lit(_PLANNED), "album_name")))
+    return actions.where(~unkeyed).unionByName(keyed.select(*actions.columns))
+
+
+def catalog_changes(actions: DataFrame, albums: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What a plan's actions, given `with_album_keys`, add to the catalog: (album_key, name,
+    image_count) by how many more images, and (album_key, file_name, md5, uri) of images
+    sent.  A collected image keeps its own name, which the plan does not know."""
+    taking = actions.where(F.col("action").isin("uploaded", "collected"))
+    filled = taking.groupBy("album_key").agg(F.min("album_name").alias("name"), F.count("*").alias("image_count"))
+    sent = actions.where(F.col("action").isin("uploaded", "replaced")).select(
+        "album_key", F.col("target_name").alias("file_name"), F.col("uploaded_md5").alias("md5"), _image(F.col("image_uri")).alias("uri")
+    )
+    return filled, sent
+
+
+def _image(uri: Column) -> Column:
+    """An image to be sent is known by its content until it has a URI."""
+    return F.coalesce(uri, F.concat(F.lit(_PLANNED), "sha256"))
+
+
+def _album() -> Column:
+    return F.coalesce("album_key", F.concat(F.lit(_PLANNED), "album_name"))
+
+
+def outcomes_of(actions: DataFrame, caption_source: bool = False) -> DataFrame:
+    """Planned actions as if all had gone well, for `change.apply_outcomes`.
+
+    With `caption_source` an upload is captioned by its path as it is sent.
+    """
     action = F.col("action")
+    rerendered = (action == "touched") & F.col("old_sha256").isNotNull()
+    placed = action.isin("uploaded", "linked", "collected", "replaced") | rerendered
     return actions.where(action != "unchanged").select(
         "path", "size", "mtime_ns", "sha256", "uploaded_md5", F.col("day").alias("capture_date"), "date_source",
-        F.when(
-            action.isin("uploaded", "linked", "collected", "replaced"),
-            F.coalesce("image_uri", F.concat(F.lit("planned:"), "sha256")),
-        ).alias("image_uri"),
-        F.coalesce("album_key", "album_name").alias("album_key"),
+        F.when(placed, _image(F.col("image_uri"))).alias("image_uri"),
+        F.when(placed, _album()).alias("album_key"),
         F.when(action == "refused", F.col("reason")).alias("failed"),
-        F.lit(False).alias("captioned"),
-        F.when(action.isin("refused", "failed", "touched"), action).otherwise("ok").alias("outcome"),
+        ((action == "uploaded") & F.lit(caption_source)).alias("captioned"),
+        F.when(rerendered, "ok").when(action.isin("refused", "failed", "touched"), action).otherwise("ok").alias("outcome"),
     )
+
+
+def hash_outcomes_of(actions: DataFrame) -> DataFrame:
+    """What a plan's actions add to the "hashes" table, for `change.apply_hash_outcomes`:
+    content sent, content found present under its name, and other bytes of a same render."""
+    action = F.col("action")
+    present = (action == "linked") & F.col("uploaded_md5").isNotNull()
+    rerendered = (action == "touched") & F.col("old_sha256").isNotNull()
+    replaced = action == "replaced"
+    return actions.where(action.isin("uploaded", "replaced") | present | rerendered).select(
+        "path", "sha256", _image(F.col("image_uri")).alias("uri"), _album().alias("album_key"),
+        F.col("size").alias("file_size"), F.col("path").alias("original_path"),
+        F.when(replaced, F.col("old_sha256")).alias("old_sha256"), F.when(replaced, F.col("old_uri")).alias("old_uri"),
+    )
+
+
+def run_report(
+    files: DataFrame, actions: DataFrame, options: DatedOptions, ignore_rules: DataFrame | None = None,
+    captions: DataFrame | None = None,
+) -> DataFrame:
+    """One row of all counters of a run: what the scan left out, what the plan does, and
+    how captioning went."""
+    scanned = scan_summary(files, options, ignore_rules)
+    row = reports.run_summary(actions, captions).withColumn("_scan", scanned.select(F.struct(*scanned.columns)).scalar())
+    return row.select("*", "_scan.*").drop("_scan")

@@ -1,15 +1,15 @@
-"""Uploading into one album series, as a flat list."""
+"""Uploading into album series: all files into one, or each directory into its own."""
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelfmark import constants as C
 from shelfmark.functions import media
-from shelfmark.functions.paths import file_name, rendered_name
+from shelfmark.functions.paths import dir_name, file_name, rendered_name
 from shelfmark.operators import change, copies, naming, remote, scanning, series, siblings
 from shelfmark.session import cut
 from shelfmark.skew import hot_key_sets, hot_keys, salted_join
@@ -19,13 +19,23 @@ ACTION_COLUMNS = ["path", "action", "album_name", "target_name", "image_uri", "r
 
 @dataclass(frozen=True)
 class FlatOptions:
-    series: str
+    """`series` is where all files go; without it, each file's own column `series` says."""
+
+    series: str | None = None
     raw_handling: str = "render"
     check_remote: bool = False
     no_cache: bool = False
     capacity: int = C.ALBUM_CAPACITY
 
 
+def plan_mirrored(
+    files: DataFrame, albums: DataFrame, images: DataFrame, hashes: DataFrame, options: FlatOptions
+) -> DataFrame:
+    """`plan_flat` for all directories at once: each one's files go to the series that
+    bears the directory's path, as `albums` name it."""
+    return plan_flat(files.withColumn("series", dir_name(F.col("path"))), albums, images, hashes, replace(options, series=None))
+
+
 def plan_flat(
     files: DataFrame, albums: DataFrame, images: DataFrame, hashes: DataFrame, options: FlatOptions
 ) -> DataFrame:
@@ -33,46 +43,44 @@ def plan_flat(
 
     `albums` holds (series, n, cnt, album_key), `images` (album_key, file_name,
     md5, uri).  Only the type filter applies; nothing hidden is left out.
+    Names, content and room are those of a file's own series; copies are sent
+    once over all of them.
     """
-    kept = siblings.suppress_raw_siblings(
-        scanning.filter_supported(scanning.merge_sources([files])), options.raw_handling, siblings.hot_stems(files)
-    )
+    if options.series is not None:
+        files = files.withColumn("series", F.lit(options.series))
+        albums = albums.where(F.col("series") == options.series)
+    supported = scanning.filter_supported(scanning.merge_sources([files]))
+    kept = siblings.suppress_raw_siblings(supported, options.raw_handling, siblings.hot_stems(supported))
     for column in ("rendered_md5", "render_error"):
         if column not in kept.columns:
             kept = kept.withColumn(column, F.lit(None).cast("string"))
     renders = media.is_renderable(F.col("path")) & F.lit(options.raw_handling == "render")
     listed = cut(kept.select(
-        "path", "size", "sha256", "md5", "rendered_md5", "render_error", renders.alias("renders"),
+        "path", "series", "size", "sha256", "md5", "rendered_md5", "render_error", renders.alias("renders"),
         file_name(F.col("path")).alias("file_name"),
         F.when(renders, rendered_name(F.col("path"))).otherwise(file_name(F.col("path"))).alias("send_name"),
         F.when(renders, F.col("rendered_md5")).otherwise(F.lower("md5")).alias("check_md5"),
     ), "listed")
-    hot = hot_key_sets(listed, {
-        "name": ["file_name"], "send": ["send_name"], "sha": ["sha256"], "md5": ["check_md5"],
-    })
-    prefix = series.series_prefix(albums.where(F.col("series") == options.series))
-    hot_images = hot_keys(images, ["album_key"])
+    name, send, content = (["series", c] for c in ("file_name", "send_name", "check_md5"))
+    hot = hot_key_sets(listed, {"name": name, "send": send, "sha": ["sha256"], "md5": content, "series": ["series"]})
+    prefix = series.series_prefix(albums)
     in_series = salted_join(
-        images, prefix.select("album_key", "series", "n"), ["album_key"], "inner", hot=hot_images, spread=["uri"]
+        images, prefix.select("album_key", "series", "n"), ["album_key"], "inner", hot=hot_keys(images, ["album_key"]), spread=["uri"]
     )
     held = naming.latest_by_name(
         in_series.select("series", "file_name", "n", "md5", "uri", "album_key")
-    ).select("file_name", "md5", "uri")
-    contents = in_series.where(F.col("md5").isNotNull()).select(F.lower("md5").alias("check_md5")).distinct()
+    ).select("series", "file_name", "md5", "uri")
+    contents = in_series.where(F.col("md5").isNotNull()).select("series", F.lower("md5").alias("check_md5")).distinct()
 
     known = hashes.limit(0) if options.no_cache else hashes
-    collecting = remote.plan_collects(listed, prefix, held, known, hot["name"], hot["sha"])
-    cached = salted_join(
-        collecting, known.select("sha256", F.lit(True).alias("cached")), ["sha256"], "left", hot=hot["sha"], spread=["path"]
-    )
-    by_name = remote.match_remote_name(
-        cached, held, hot=hot["name"]
-    )
-    rendered_held = held.select(F.col("file_name").alias("send_name"), F.lit(True).alias("rendered_held"))
-    by_name = salted_join(by_name, rendered_held, ["send_name"], "left", hot=hot["send"], spread=["path"])
+    # One join with known content tells both whether it is known and where it is.
+    collecting = remote.plan_collects(listed, prefix, held, known, hot["name"], hot["sha"], within=["series"])
+    by_name = remote.match_remote_name(collecting, held, hot=hot["name"], within=["series"])
+    rendered_held = held.select("series", F.col("file_name").alias("send_name"), F.lit(True).alias("rendered_held"))
+    by_name = salted_join(by_name, rendered_held, send, "left", hot=hot["send"], spread=["path"])
     if options.check_remote:
         by_name = salted_join(
-            by_name, contents.withColumn("content_held", F.lit(True)), ["check_md5"], "left", hot=hot["md5"], spread=["path"]
+            by_name, contents.withColumn("content_held", F.lit(True)), content, "left", hot=hot["md5"], spread=["path"]
         )
     else:
         by_name = by_name.withColumn("content_held", F.lit(None).cast("boolean"))
@@ -92,7 +100,7 @@ def plan_flat(
             .when(~F.col("renders") & (F.col("name_match") == "replace"), "replaced")
             .otherwise("uploaded"),
         ).select(
-            "path", "size", "sha256", "action", "send_name", "collect_uri", "replaces_uri",
+            "path", "series", "size", "sha256", "action", "send_name", "collect_uri", "replaces_uri",
             F.when(F.col("action") == "skipped", F.col("why"))
             .when(F.col("action") == "failed", F.col("render_error")).alias("reason"),
         ),
@@ -110,10 +118,8 @@ def plan_flat(
 
     # Collects claim their room before the uploads.
     takes_room = F.col("action").isin("collected", "uploaded")
-    takers = decided.where(takes_room).withColumns({
-        "series": F.lit(options.series), "late": F.when(F.col("action") == "uploaded", 1).otherwise(0),
-    })
-    slotted = series.assign_slots(takers, prefix, options.capacity, order=["late", "path"])
+    takers = decided.where(takes_room).withColumn("late", F.when(F.col("action") == "uploaded", 1).otherwise(0))
+    slotted = series.assign_slots(takers, prefix, options.capacity, order=["late", "path"], hot=hot["series"])
     full = F.col("slot_error").isNotNull()
     placed = slotted.withColumns({
         "action": F.when(full, "failed").otherwise(F.col("action")), "reason": F.coalesce("slot_error", "reason"),

@@ -38,12 +38,8 @@ def plan_downloads(
     missing = F.when(F.col("url").isNull(), "no such size")
     # Only what can be fetched takes a name.
     fetched = unique_download_names(wanted.where(F.col("url").isNotNull()), ["seq", "image_key"], name="_name")
-    lost = wanted.where(F.col("url").isNull()).withColumns({
-        "target_name": F.lit(None).cast("string"), "name_error": missing,
-    })
-    return fetched.unionByName(lost).select(
-        "image_key", "url", "target_name", F.col("name_error").alias("problem")
-    )
+    lost = wanted.where(F.col("url").isNull()).withColumn("target_name", F.lit(None).cast("string"))
+    return fetched.unionByName(lost).select("image_key", "url", "target_name", missing.alias("problem"))
 
 
 def plan_url_ingest(

@@ -11,12 +11,17 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors see, as `spark.checkpoint.dir` names it.
 
-    Only where the session names none (tests on one machine) is one made.
+    Only on one machine, as in tests, is one made where the session names none.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured
-    return spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="shelfmark-")
+    known = spark.sparkContext.getCheckpointDir()
+    if known:
+        return known
+    if not spark.sparkContext.master.split("[")[0] == "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return tempfile.mkdtemp(prefix="shelfmark-")
 
 
 def scratch_dir(spark: SparkSession, purpose: str) -> str:

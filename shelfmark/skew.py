@@ -1,9 +1,10 @@
 """Numbering, electing and joining when one key may hold a third of all rows.
 
-Hot keys are found first, by a count with map-side combine.  At most
-`MAX_HOT_KEYS` keys are treated as hot, the largest ones, so what comes to the
-driver and is broadcast is bounded however large the table: a key that misses
-the list holds fewer than 1/MAX_HOT_KEYS of the rows, which one task can take.
+Hot keys are found first, by a sketch and then a count.  At most `MAX_HOT_KEYS`
+keys are treated as hot, the largest ones, so what comes to the driver and is
+broadcast is bounded however large the table: a key that misses the list holds
+fewer than 1/MAX_HOT_KEYS of the rows.  That share grows with the table; Spark's
+own splitting of skewed join partitions is what is left for such keys.
 Hot keys are split over many tasks and all others take the ordinary path;
 nothing is dropped.  A table without hot keys gets an ordinary plan.
 
@@ -25,6 +26,8 @@ from shelfmark.session import cut
 # Rows of one key that a task handles without being split.
 HOT_ROWS = 1_000_000
 MAX_HOT_KEYS = 4096
+# Keys that the sketch of the largest ones tracks.
+_TRACKED = 1 << 16
 # Rows sampled per slice when choosing where to cut a hot key's order.
 _SAMPLES_PER_SLICE = 32
 _FAN = 32
@@ -36,22 +39,34 @@ UNCOUNTED = object()
 def hot_key_sets(
     df: DataFrame, key_sets: Mapping[str, Sequence[str]], hot_rows: int | None = None
 ) -> dict[str, DataFrame | None]:
-    """Per name, (keys..., hot_n, slices) or None where no key is hot; one job.
+    """Per name, (keys..., hot_n, slices) or None where no key is hot.
 
+    One pass without a shuffle sketches the largest keys of all sets at once;
+    only where the sketch shows any over the limit are those counted, exactly.
+    The sketch tracks _TRACKED keys and misses none that holds more than a few
+    times 1/_TRACKED of the rows; a miss would cost time, never rows.
     The slices of all hot keys of a set number at most 2 * MAX_HOT_KEYS.
     """
     limit = HOT_ROWS if hot_rows is None else hot_rows
+    sketched = df.select(*[F.xxhash64(*keys).alias(f"_h_{name}") for name, keys in key_sets.items()]).agg(*[
+        F.expr(f"approx_top_k(_h_{name}, {MAX_HOT_KEYS}, {_TRACKED})").alias(name) for name in key_sets
+    ]).first()
     counted = None
     for name, keys in key_sets.items():
+        found = [r["item"] for r in sketched[name] or [] if r["count"] > limit]
+        if not found:
+            continue
+        # Bounded: MAX_HOT_KEYS numbers to a set.
+        wanted = df.sparkSession.createDataFrame([(h,) for h in found], "_h bigint")
         largest = (
-            df.groupBy(*keys).agg(F.count("*").alias("hot_n"))
+            df.select(*keys, F.xxhash64(*keys).alias("_h")).join(F.broadcast(wanted), "_h", "left_semi")
+            .groupBy(*keys).agg(F.count("*").alias("hot_n"))
             .where(F.col("hot_n") > limit)
             .orderBy(F.desc("hot_n")).limit(MAX_HOT_KEYS)
             .select(F.lit(name).alias("_set"), "hot_n", F.struct(*keys).alias(f"_key_{name}"))
         )
         counted = largest if counted is None else counted.unionByName(largest, allowMissingColumns=True)
-    # Bounded: MAX_HOT_KEYS rows to a set.
-    rows = counted.collect()
+    rows = counted.collect() if counted is not None else []
     sets: dict[str, DataFrame | None] = {}
     for name, keys in key_sets.items():
         mine = [r for r in rows if r["_set"] == name]

@@ -1,20 +1,14 @@
-"""File inventories: from a table, from `binaryFile`, or by walking folders."""
+"""File inventories: from a table, or from `binaryFile`."""
 
 from __future__ import annotations
 
-import fnmatch
-import os
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from shelfmark.operators.scanning import merge_sources
 
-INVENTORY = "path string, size bigint, mtime_ns bigint"
-
-
 def inventory_table(listing: DataFrame) -> DataFrame:
     """An inventory kept as a table; an unknown or pre-1970 time is 0."""
     known = F.greatest(F.coalesce("mtime_ns", F.lit(0)), F.lit(0))
@@ -25,9 +19,9 @@ def read_inventory(spark: SparkSession, sources: Sequence[str]) -> DataFrame:
     """Files below `sources` (folders or single files), contents never read.
 
     `content` is left out, so the scan lists files and opens none; a source
-    that is not there is an error.  Times come in milliseconds, and empty files and
-    names starting with `_` or `.` are left out: use `read_walked_inventory`
-    where cameras write such names.
+    that is not there is an error.  Times come in milliseconds, and Spark leaves out
+    empty files and names starting with `_` or `.`: where those matter, take the
+    storage's own inventory as a table (`inventory_table`).
     """
     def one(source: str) -> DataFrame:
         found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(source)
@@ -38,107 +32,3 @@ def read_inventory(spark: SparkSession, sources: Sequence[str]) -> DataFrame:
         )
 
     return merge_sources([one(s) for s in sources])
-
-
-class WalkedFolders(DataSource):
-    """`format("walked_folders")`: a stat of every file below the option `path`.
-
-    Hidden names and the names in the option `skip` (`|` between patterns) are
-    pruned while walking: such a folder is never entered.  With the option
-    `errors` set to `true` the rows are the entries that could not be read.
-    Links are followed; the files must be visible to every executor.
-    """
-
-    @classmethod
-    def name(cls) -> str:
-        return "walked_folders"
-
-    def schema(self) -> str:
-        return "path string, error string" if self._errors() else INVENTORY
-
-    def _errors(self) -> bool:
-        return self.options.get("errors", "false").lower() == "true"
-
-    def reader(self, schema) -> DataSourceReader:
-        return _WalkReader(
-            self.options["path"], [p for p in self.options.get("skip", "").split("|") if p],
-            int(self.options.get("partitions", "256")), self._errors(),
-        )
-
-
-class _Folder(InputPartition):
-    def __init__(self, path: str, deep: bool, above: tuple[str, ...] = ()):
-        self.path, self.deep, self.above = path, deep, above
-
-
-class _WalkReader(DataSourceReader):
-    def __init__(self, root: str, skip: list[str], partitions: int, errors: bool):
-        self.root, self.skip, self.partitions_wanted, self.errors = root, skip, partitions, errors
-
-    def partitions(self) -> list[InputPartition]:
-        """One partition per folder, folders being opened breadth first until
-        there are enough, so that one big top folder is many partitions."""
-        if not os.path.exists(self.root):
-            raise FileNotFoundError(f"{self.root} doesn't exist")
-        if not os.path.isdir(self.root):
-            return [_Folder(self.root, False)]
-        closed, opened = [_Folder(self.root, True)], []
-        while closed and len(closed) + len(opened) < self.partitions_wanted:
-            folder = closed.pop(0)
-            above = (*folder.above, os.path.realpath(folder.path))
-            opened.append(_Folder(folder.path, False, folder.above))
-            closed += [_Folder(p, True, above) for p, is_dir, _ in self._entries(folder) if is_dir]
-        return [*opened, *closed]
-
-    def _entries(self, folder: _Folder) -> Iterator[tuple[str, bool, str | None]]:
-        try:
-            names = sorted(os.listdir(folder.path))
-        except OSError as error:
-            yield folder.path, False, str(error)
-            return
-        seen = {*folder.above, os.path.realpath(folder.path)}
-        for name in names:
-            if name.startswith(".") or any(fnmatch.fnmatchcase(name, p) for p in self.skip):
-                continue
-            path = os.path.join(folder.path, name)
-            is_dir = os.path.isdir(path)
-            if is_dir and os.path.realpath(path) in seen:
-                yield path, False, "a link to a folder above it"
-                continue
-            yield path, is_dir, None
-
-    def read(self, partition: _Folder) -> Iterator[tuple]:
-        if not os.path.isdir(partition.path):
-            yield from self._stat(partition.path)
-            return
-        pending = [partition]
-        while pending:
-            folder = pending.pop()
-            above = (*folder.above, os.path.realpath(folder.path))
-            for path, is_dir, error in self._entries(folder):
-                if error is not None:
-                    if self.errors:
-                        yield path, error
-                elif not is_dir:
-                    yield from self._stat(path)
-                elif partition.deep:
-                    pending.append(_Folder(path, True, above))
-
-    def _stat(self, path: str) -> Iterator[tuple]:
-        try:
-            stat = os.stat(path)
-        except OSError as error:
-            if self.errors:
-                yield path, str(error)
-            return
-        if not self.errors:
-            yield path, stat.st_size, max(stat.st_mtime_ns, 0)
-
-
-def read_walked_inventory(
-    spark: SparkSession, sources: Sequence[str], skip: Sequence[str] = (), errors: bool = False
-) -> DataFrame:
-    """Files below `sources` with nanosecond times, `_` names included."""
-    spark.dataSource.register(WalkedFolders)
-    reader = spark.read.format("walked_folders").option("skip", "|".join(skip)).option("errors", str(errors))
-    return merge_sources([reader.option("path", s).load() for s in sources])

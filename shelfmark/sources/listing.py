@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StructType
 
 
 def read_listing_pages(
@@ -11,9 +12,9 @@ def read_listing_pages(
 ) -> DataFrame:
     """Every item of `Response.<locator>` of every page file under `path`.
 
-    Pages are taken in file-name order; one without the array gives no rows.
+    Pages are taken by the number their file name ends in; one without the array gives no rows.
     """
-    pages = spark.read.schema(f"Response struct<`{locator}`: array<struct<{_fields(item_schema)}>>>").option(
+    pages = spark.read.schema(_response(locator, item_schema)).option(
         "multiLine", True
     ).json(path).select(F.col("_metadata.file_path").alias("page"), F.col(f"Response.`{locator}`").alias("_items"))
     return _exploded(pages, limit)
@@ -21,20 +22,21 @@ def read_listing_pages(
 
 def listing_items(pages: DataFrame, locator: str, item_schema: str, limit: int | None = None) -> DataFrame:
     """The same over pages held as text: (page, json)."""
-    schema = f"Response struct<`{locator}`: array<struct<{_fields(item_schema)}>>>"
-    parsed = F.from_json("json", schema)
-    return _exploded(pages.select("page", parsed[f"Response"][locator].alias("_items")), limit)
+    parsed = F.from_json("json", _response(locator, item_schema))
+    return _exploded(pages.select("page", parsed["Response"][locator].alias("_items")), limit)
 
 
-def _fields(item_schema: str) -> str:
-    """`Key bigint, Name string` as the fields of a struct."""
-    return ", ".join(f"`{field.split()[0]}`: {field.split(None, 1)[1]}" for field in item_schema.split(","))
+def _response(locator: str, item_schema: str) -> StructType:
+    """The schema of a page whose items have the fields `Key bigint, Name string`."""
+    items = ArrayType(StructType.fromDDL(item_schema))
+    return StructType().add("Response", StructType().add(locator, items))
 
 
 def _exploded(pages: DataFrame, limit: int | None) -> DataFrame:
     items = pages.select("page", F.posexplode("_items").alias("place", "_item")).select("page", "place", "_item.*")
     # A limit needs the listing's order; without one nothing is sorted.
-    return items if limit is None else items.orderBy("page", "place").limit(limit)
+    number = F.regexp_extract("page", r"([0-9]+)[^0-9/]*$", 1).try_cast("decimal(38,0)")
+    return items if limit is None else items.orderBy(number.asc_nulls_first(), "page", "place").limit(limit)
 
 
 def size_details(described: DataFrame) -> DataFrame:

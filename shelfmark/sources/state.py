@@ -70,6 +70,15 @@ def write_state(
     return version
 
 
+def drop_versions(spark: SparkSession, folder: str, keep: int) -> None:
+    """Remove all but the newest `keep` versions."""
+    files = _file_system(spark, folder)
+    for version in versions(spark, folder)[:-keep]:
+        # The marker goes first: half a version is none.
+        files.delete(_path(spark, folder, f"v={version}", "_COMPLETE"), False)
+        files.delete(_path(spark, folder, f"v={version}"), True)
+
+
 def clear_state(spark: SparkSession, folder: str) -> int:
     """Forget everything: a version with both tables empty."""
     empty = [spark.createDataFrame([], schema) for schema in _SCHEMAS.values()]

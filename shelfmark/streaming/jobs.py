@@ -1,31 +1,24 @@
 """Streaming forms of planning, deduplication, change detection and placement.
 
-State that one key could make hot (the albums of one busy series, the copies
-of one content) is kept in tables and changed by batch operators in
-`foreachBatch`, which split hot keys; per-key state is used where a key is a
-path and so cannot be hot.
+State is kept in tables and changed by batch operators in `foreachBatch`, which
+split hot keys (the albums of one busy series, the copies of one content).
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from shelfmark import constants as C
-from shelfmark.operators import change, series
+from shelfmark.operators import change, copies, series
 from shelfmark.plans import dated
 from shelfmark.session import cut
+from shelfmark.skew import salted_join
 from shelfmark.sources import state as stored
 
-# A content's arrivals are first told apart in this many parts, so that no
-# task sees all copies of a hot one.
-_DEDUP_PARTS = 64
-
 
 def _run(writer, checkpoint: str, interval: str | None) -> StreamingQuery:
     """Without an interval, all there is now and then stop."""
@@ -47,71 +40,145 @@ def stream_plan(
     """Plan each batch of arriving files and keep the state it leads to.
 
     Batches never overlap.  State version n + 1 is written by batch n from
-    version n, so a batch done again after a failure gives the same version.
+    version n, so a batch done again after a failure gives the same version;
+    the newest KEPT_VERSIONS stay.  Albums filled and names given by a batch
+    are part of the catalog that the next one plans against.
     The folder belongs to this stream and its checkpoint: to go on from other
     state, write that as version 0 before the first start.
     """
     spark = files.sparkSession
 
+    catalog = f"{state_folder}/catalog"
+
     def plan(batch: DataFrame, batch_id: int) -> None:
         # Before the first batch there may be no state at all.
         first = batch_id == 0 and 0 not in stored.versions(spark, state_folder)
         current, hashes = _no_state(spark) if first else stored.read_state(spark, state_folder, batch_id)
-        actions = cut(dated.plan_dated(batch, current, hashes, albums, images, options), "actions")
+        albums_now, images_now = _catalog(spark, catalog, batch_id, albums, images)
+        planned = dated.plan_dated(batch, current, hashes, albums_now, images_now, options)
+        actions = cut(dated.with_album_keys(planned, albums_now), "actions")
         actions.write.mode("overwrite").parquet(f"{actions_folder}/batch={batch_id}")
-        outcomes = dated.outcomes_of(actions)
-        placed = actions.where(F.col("action").isin("uploaded", "replaced")).select(
-            "path", "sha256", F.coalesce("image_uri", F.concat(F.lit("planned:"), "sha256")).alias("uri"),
-            F.coalesce("album_key", "album_name").alias("album_key"),
-            F.col("size").alias("file_size"), "old_sha256", "old_uri",
-        )
+        new_albums, new_images = dated.catalog_changes(actions, albums_now)
+        _write_batch(new_albums, f"{catalog}/albums", batch_id)
+        _write_batch(new_images, f"{catalog}/images", batch_id)
         stored.write_state(
-            spark, state_folder, change.apply_outcomes(current, outcomes),
-            change.apply_hash_outcomes(hashes, placed), batch_id + 1,
+            spark, state_folder, change.apply_outcomes(current, dated.outcomes_of(actions, options.caption_source)),
+            change.apply_hash_outcomes(hashes, dated.hash_outcomes_of(actions)), batch_id + 1,
         )
+        stored.drop_versions(spark, state_folder, keep=KEPT_VERSIONS)
 
     return _run(files.writeStream.foreachBatch(plan), checkpoint, interval)
 
 
+# Versions of the state kept: one to read, one that a batch done again may need, and spares.
+KEPT_VERSIONS = 4
+_ALBUMS = "album_key string, name string, image_count bigint"
+_IMAGES = "album_key string, file_name string, md5 string, uri string"
+
+
+def _catalog(
+    spark: SparkSession, folder: str, batch_id: int, albums: DataFrame, images: DataFrame
+) -> tuple[DataFrame, DataFrame]:
+    """The listed catalog and what earlier batches have put there since.
+
+    A batch writes what it adds: images, and how many more each album has.
+    """
+    added = _before(spark, f"{folder}/albums", batch_id, _ALBUMS)
+    listed = albums.select("album_key", "name", F.coalesce("image_count", F.lit(0)).cast("bigint").alias("image_count"))
+    rest = [c for c in albums.columns if c not in ("album_key", "name", "image_count")]
+    counts = listed.unionByName(added).groupBy("album_key").agg(F.min("name").alias("name"), F.sum("image_count").alias("image_count"))
+    if rest:
+        counts = counts.join(albums.select("album_key", *rest), "album_key", "left")
+    # A replaced image has its new content from then on.
+    held = _before(spark, f"{folder}/images", batch_id, _IMAGES)
+    kept = images.select("album_key", "file_name", "md5", "uri").join(held.select("uri"), "uri", "left_anti")
+    return counts, kept.unionByName(held)
+
+
 def _no_state(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
     return spark.createDataFrame([], stored.STATE_SCHEMA), spark.createDataFrame([], stored.HASHES_SCHEMA)
 
 
-def stream_dedup(files: DataFrame) -> DataFrame:
-    """The first arrival of each content; later copies are dropped.
+def _before(spark: SparkSession, folder: str, batch_id: int, schema: str) -> DataFrame:
+    """What earlier batches have written below `folder`; a batch done again sees no more."""
+    if batch_id == 0:
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(f"{schema}, batch bigint").parquet(folder).where(F.col("batch") < batch_id).drop("batch")
+
+
+def _write_batch(frame: DataFrame, folder: str, batch_id: int) -> None:
+    frame.write.mode("overwrite").parquet(f"{folder}/batch={batch_id}")
+
 
-    Two steps: within parts chosen by path, then over what those let through,
-    at most _DEDUP_PARTS rows of any content.
+def stream_dedup(
+    files: DataFrame, leaders_folder: str, told_folder: str, checkpoint: str, interval: str | None = None
+) -> StreamingQuery:
+    """Every arriving file (path, sha256) with its `leader`, and whether it is that.
+
+    The first path of a content's first batch leads; all later ones follow it.
+    A batch writes the leaders it adds and nothing else of them, so what it
+    writes follows the batch.
     """
-    parted = files.withColumn("_part", F.pmod(F.xxhash64("path"), F.lit(_DEDUP_PARTS)))
-    return parted.dropDuplicates(["sha256", "_part"]).drop("_part").dropDuplicates(["sha256"])
+    spark = files.sparkSession
 
+    def tell(batch: DataFrame, batch_id: int) -> None:
+        known = _before(spark, leaders_folder, batch_id, "sha256 string, leader string")
+        elected = copies.elect_copies(batch)
+        joined = salted_join(elected, known.withColumnRenamed("leader", "_led"), ["sha256"], "left", spread=["path"])
+        told = cut(joined.select(
+            *batch.columns, F.coalesce("_led", "leader").alias("leader"),
+            (F.col("_led").isNull() & F.col("is_leader")).alias("is_leader"),
+        ), "told")
+        _write_batch(told, told_folder, batch_id)
+        _write_batch(told.where("is_leader").select("sha256", "leader"), leaders_folder, batch_id)
 
-def stream_change_detect(files: DataFrame) -> DataFrame:
-    """(path, status): new, changed, touched or unchanged, against the last arrival.
+    return _run(files.writeStream.foreachBatch(tell), checkpoint, interval)
+
+
+def stream_change_detect(
+    files: DataFrame, records_folder: str, told_folder: str, checkpoint: str, interval: str | None = None
+) -> StreamingQuery:
+    """(path, status, mtime_ns) of every arrival, against the one before.
 
-    `files` holds path, size, mtime_ns and sha256.
+    `files` holds path, size, mtime_ns, sha256 and, where an arrival was
+    refused, `failed`.  Status is new, changed, touched, unchanged or refused:
+    a refused file stays so until its size or time changes.  A batch writes
+    the last record of each path in it; the newest of a path counts.
     """
-    def detect(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        known = state.get if state.exists else None
-        rows = []
-        arrived = pd.concat(list(batches)).sort_values(["mtime_ns", "size", "sha256"])
-        for size, mtime, sha in zip(arrived["size"], arrived["mtime_ns"], arrived["sha256"]):
-            if known is None:
-                status = "new"
-            elif (size, mtime) == known[:2]:
-                status = "unchanged"
-            else:
-                status = "touched" if sha == known[2] else "changed"
-            known = (int(size), int(mtime), sha)
-            rows.append((key[0], status, int(mtime)))
-        state.update(known)
-        yield pd.DataFrame(rows, columns=["path", "status", "mtime_ns"])
-
-    return files.groupBy("path").applyInPandasWithState(
-        detect, "path string, status string, mtime_ns bigint",
-        "size bigint, mtime_ns bigint, sha256 string", "append", GroupStateTimeout.NoTimeout,
-    )
+    spark = files.sparkSession
+    record = "path string, size bigint, mtime_ns bigint, sha256 string, failed string"
+
+    def detect(batch: DataFrame, batch_id: int) -> None:
+        if "failed" not in batch.columns:
+            batch = batch.withColumn("failed", F.lit(None).cast("string"))
+        last = (
+            _before(spark, records_folder, batch_id, f"{record}, at bigint")
+            .groupBy("path").agg(F.max_by(F.struct("size", "mtime_ns", "sha256", "failed"), "at").alias("_known"))
+        )
+        arrived = batch.select("path", F.struct("size", "mtime_ns", "sha256", "failed").alias("_now"))
+        # A batch brings a path a few times at most.
+        order = Window.partitionBy("path").orderBy("_now.mtime_ns", "_now.size", "_now.sha256")
+        paired = arrived.withColumns({"_last": F.lag("_now").over(order), "_next": F.lead("_now").over(order)}).join(last, "path", "left")
+        before = F.coalesce("_last", "_known")
+        same = (before["size"] == F.col("_now.size")) & (before["mtime_ns"] == F.col("_now.mtime_ns"))
+        told = cut(paired.select(
+            "path",
+            F.when(before.isNull(), "new")
+            .when(same & before["failed"].isNotNull(), "refused")
+            .when(same, "unchanged")
+            .when(F.col("_now.sha256") == before["sha256"], "touched")
+            .otherwise("changed").alias("status"),
+            F.col("_now.mtime_ns").alias("mtime_ns"), "_now", F.col("_next").isNull().alias("_newest"),
+            # Refusal lasts while nothing changes.
+            F.coalesce("_now.failed", F.when(same, before["failed"])).alias("_failed"),
+        ), "told")
+        _write_batch(told.select("path", "status", "mtime_ns"), told_folder, batch_id)
+        newest = told.where("_newest").select(
+            "path", "_now.size", "_now.mtime_ns", "_now.sha256", F.col("_failed").alias("failed"), F.lit(batch_id).cast("bigint").alias("at")
+        )
+        _write_batch(newest, records_folder, batch_id)
+
+    return _run(files.writeStream.foreachBatch(detect), checkpoint, interval)
 
 
 def stream_assign_slots(
@@ -141,12 +208,13 @@ def stream_assign_slots(
     return _run(files.writeStream.foreachBatch(place), checkpoint, interval)
 
 
-def stream_day_counts(files: DataFrame, late: str = "1 day") -> DataFrame:
-    """(day, date_source, files) over files with `day`; later than `late` is dropped."""
-    at = files.withColumn("_at", F.col("day").cast("timestamp")).withWatermark("_at", late)
-    return at.groupBy(F.window("_at", "1 day").alias("_day"), "date_source").agg(F.count("*").alias("files")).select(
-        F.col("_day.start").cast("date").alias("day"), "date_source", "files"
-    )
+def stream_day_counts(files: DataFrame) -> DataFrame:
+    """(day, date_source, files) over files with `day`, however old the day.
+
+    Photos arrive in no order of date, so nothing is too late; what is kept
+    are the days and ways of dating, which are few however many the files.
+    """
+    return files.groupBy("day", "date_source").agg(F.count("*").alias("files"))
 
 
 def run_repeatedly(start: Callable[[], StreamingQuery], rounds: int) -> list[str | None]:

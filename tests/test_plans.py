@@ -56,12 +56,10 @@ class Library:
             if a["action"] == "replaced":
                 self.images = [(k, n, a["uploaded_md5"] if u == a["image_uri"] else m, u) for k, n, m, u in self.images]
         actions = self.planned = self.spark.createDataFrame(rows, planned.schema)
-        known = actions.where(F.col("action").isin("uploaded", "replaced") | ((F.col("action") == "linked") & F.col("uploaded_md5").isNotNull())).select(
-            "path", "sha256", F.coalesce("image_uri", F.concat(F.lit("planned:"), "sha256")).alias("uri"),
-            F.coalesce("album_key", "album_name").alias("album_key"), F.col("size").alias("file_size"), "old_sha256", "old_uri",
-        )
-        hashes = change.apply_hash_outcomes(self.hashes, known).collect()
-        state = change.apply_outcomes(self.state, outcomes_of(actions)).collect()
+        # This remote's albums have their names as keys.
+        keyed = actions.withColumn("album_key", F.coalesce("album_key", "album_name"))
+        hashes = change.apply_hash_outcomes(self.hashes, dated.hash_outcomes_of(keyed)).collect()
+        state = change.apply_outcomes(self.state, outcomes_of(keyed)).collect()
         self.hashes = self.spark.createDataFrame(hashes, self.hashes.schema)
         self.state = self.spark.createDataFrame(state, self.state.schema)
         return {a["path"].removeprefix("/lib/"): a for a in rows}
@@ -264,3 +262,23 @@ def test_flat_plan(spark):
     blank = plan(no_cache=True, raw_handling="skip")
     assert set(blank) == {"a.jpg", "b.jpg", "c.jpg", "d.jpg", ".h.jpg", "i.jpg", "j.jpg", "l.jpg"}
     assert all(blank[p][0] == "uploaded" for p in ("c.jpg", "i.jpg", "j.jpg", "l.jpg"))
+
+
+def test_same_render_is_a_record_of_its_own(story):
+    """Other bytes of a RAW that render to the same image: known by their new hash from then on."""
+    library, first, second, third = story
+    raw = second["raw/IMG_0001.CR2"]
+    sha = hashlib.sha256(b"raw, other bytes").hexdigest()
+    assert raw["action"] == "touched" and raw["old_sha256"] == hashlib.sha256(b"raw").hexdigest() or raw["old_sha256"] != sha
+    record = library.state.where("path = '/lib/raw/IMG_0001.CR2'").first()
+    assert record["sha256"] == sha and record["image_uri"] == raw["image_uri"]
+    assert library.hashes.where(F.col("sha256") == sha).first()["uri"] == raw["image_uri"]
+
+
+def test_captions_of_uploads(spark):
+    library = Library(spark)
+    library.write("a/IMG_20140712_0001.jpg", b"one")
+    planned = plan_dated(*library.tables(), OPTIONS)
+    for captioned in (False, True):
+        state = change.apply_outcomes(library.state, outcomes_of(planned, captioned))
+        assert [r["captioned"] for r in state.collect()] == [captioned]

@@ -1,15 +1,12 @@
 """Readers and writers, on files made here."""
 
 import os
-import struct
 
 import pytest
 from pyspark.errors import AnalysisException
-from pyspark.sql import functions as F
 
-from shelfmark.functions import dates, media
 from shelfmark.operators import change, reports
-from shelfmark.sources import inventory, listing, metadata, state
+from shelfmark.sources import inventory, listing, state
 
 
 def touch(root, path, content=b"x"):
@@ -24,11 +21,6 @@ def test_inventories(spark, tmp_path):
         touch(tmp_path, path, b"12345")
     os.utime(tmp_path / "a/b/c.jpg", ns=(0, 1_234_567_890_123_456_789))
     os.utime(tmp_path / "g.txt", ns=(0, -5))
-    walked = inventory.read_walked_inventory(spark, [str(tmp_path), str(tmp_path / "a")], skip=["@eaDir"])
-    found = {r["path"].removeprefix(f"{tmp_path}/"): (r["size"], r["mtime_ns"]) for r in walked.collect()}
-    assert set(found) == {"a/_DSC1.JPG", "a/b/c.jpg", "g.txt"}
-    assert found["a/b/c.jpg"] == (5, 1_234_567_890_123_456_789) and found["g.txt"][1] == 0
-
     listed = inventory.read_inventory(spark, [str(tmp_path), str(tmp_path / "g.txt")])
     names = {r["path"].removeprefix(f"{tmp_path}/"): r for r in listed.collect()}
     assert "a/b/c.jpg" in names and "a/_DSC1.JPG" not in names and len(names) == 3
@@ -37,19 +29,6 @@ def test_inventories(spark, tmp_path):
     assert "content" not in plan
     with pytest.raises(AnalysisException):
         inventory.read_inventory(spark, [str(tmp_path / "nowhere")]).count()
-    with pytest.raises(Exception, match="doesn't exist"):
-        inventory.read_walked_inventory(spark, [str(tmp_path / "nowhere")]).count()
-
-
-def test_a_deep_folder_is_many_partitions(spark, tmp_path):
-    for i in range(30):
-        touch(tmp_path, f"all/{i % 6}/{i}.jpg")
-    os.symlink(tmp_path / "all", tmp_path / "all/0/loop")
-    reader = inventory._WalkReader(str(tmp_path), [], 64, False)
-    assert len(reader.partitions()) == 8
-    assert inventory.read_walked_inventory(spark, [str(tmp_path)]).count() == 30
-    errors = inventory.read_walked_inventory(spark, [str(tmp_path)], errors=True).collect()
-    assert [os.path.basename(e["path"]) for e in errors] == ["loop"]
 
 
 def test_listing_pages(spark, tmp_path):
@@ -60,6 +39,26 @@ def test_listing_pages(spark, tmp_path):
     assert sorted((r["Key"], r["Name"]) for r in items.collect()) == [(1, "a"), (2, None), (3, "c")]
     first = listing.read_listing_pages(spark, str(tmp_path), "Node", "Key bigint, Name string", limit=2)
     assert [r["Key"] for r in first.collect()] == [1, 2]
+    # The tenth page comes after the ninth, and items may nest.
+    (tmp_path / "10.json").write_text('{"Response": {"Node": [{"Key": 10, "Sum": "1.50", "At": {"X": 1}}]}}')
+    nested = listing.read_listing_pages(spark, str(tmp_path), "Node", "Key bigint, Sum decimal(10,2), At struct<X: int>", limit=9)
+    assert [r["Key"] for r in nested.collect()] == [1, 2, 3, 10] and nested.schema["Sum"].dataType.simpleString() == "decimal(10,2)"
+
+
+def test_scratch_needs_a_shared_folder_on_a_cluster(tmp_path):
+    from types import SimpleNamespace
+
+    from shelfmark.session import shared_dir
+
+    def session(master, configured=None):
+        context = SimpleNamespace(master=master, getCheckpointDir=lambda: None)
+        return SimpleNamespace(conf=SimpleNamespace(get=lambda key, default: configured), sparkContext=context)
+
+    assert shared_dir(session("spark://host:7077", "/shared")) == "/shared"
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_dir(session("spark://host:7077"))
+    with pytest.raises(ValueError):
+        shared_dir(session("local-cluster[2,1,1024]"))
 
 
 def test_state_versions(spark, tmp_path):
@@ -89,88 +88,3 @@ def test_run_summary_document(spark, tmp_path):
     state.write_run_summary(summary, str(tmp_path / "run"))
     text = "".join(p.read_text() for p in (tmp_path / "run").glob("*.json"))
     assert text.strip() == '{"folder":"/lib","uploaded":3,"failed":null}'
-
-
-def exif(order, original=None, modified=None):
-    """A TIFF block with a DateTime and an EXIF directory."""
-    def ascii_entry(tag, at):
-        return struct.pack(order + "HHII", tag, 2, 20, at)
-
-    head = (b"II*\0" if order == "<" else b"MM\0*") + struct.pack(order + "I", 8)
-    text = 8 + 2 + 24 + 4 + 2 + 12 + 4
-    first = struct.pack(order + "H", 2) + ascii_entry(0x0132, text) + struct.pack(order + "HHII", 0x8769, 4, 1, 38) + b"\0" * 4
-    second = struct.pack(order + "H", 1) + ascii_entry(0x9003, text + 20) + b"\0" * 4
-    return head + first + second + (modified or "").encode().ljust(20, b"\0") + (original or "").encode().ljust(20, b"\0")
-
-
-def jpeg(block):
-    body = b"Exif\0\0" + block
-    return b"\xff\xd8" + b"\xff\xe0" + struct.pack(">H", 4) + b"ab" + b"\xff\xe1" + struct.pack(">H", len(body) + 2) + body + b"\xff\xda"
-
-
-def png(block):
-    return b"\x89PNG\r\n\x1a\n" + struct.pack(">I4s", 3, b"IHDR") + b"abc" + b"\0" * 4 + struct.pack(">I4s", len(block), b"eXIf") + block + b"\0" * 4
-
-
-def box(kind, payload, large=False):
-    if large:
-        return struct.pack(">I4sQ", 1, kind, len(payload) + 16) + payload
-    return struct.pack(">I4s", len(payload) + 8, kind) + payload
-
-
-def movie(seconds, created=0, width=1920, height=1080, apple=None, version=0):
-    if version:
-        header = b"\1\0\0\0" + struct.pack(">QQIQ", created, 0, 1000, seconds * 1000) + b"\0" * 80
-    else:
-        header = b"\0" * 4 + struct.pack(">IIII", created, 0, 1000, seconds * 1000) + b"\0" * 80
-    inner = box(b"mvhd", header) + box(b"trak", box(b"tkhd", b"\0" * 84)) + box(
-        b"trak", box(b"tkhd", b"\0" * 76 + struct.pack(">II", width << 16, height << 16))
-    )
-    if apple:
-        names = [b"com.apple.other", b"com.apple.quicktime.creationdate"]
-        keys = b"\0" * 4 + struct.pack(">I", 2) + b"".join(struct.pack(">I", len(n) + 8) + b"mdta" + n for n in names)
-        inner += box(b"meta", box(b"hdlr", b"\0" * 24) + box(b"keys", keys) + box(
-            b"ilst", box(struct.pack(">I", 2), box(b"data", b"\0" * 8 + apple.encode()))
-        ))
-    return box(b"ftyp", b"isom\0\0\0\0") + box(b"mdat", b"\1" * 64, large=True) + box(b"moov", inner)
-
-
-def test_metadata_job(spark, tmp_path):
-    shot = exif("<", "2014:07:12 14:23:11", "2020:01:01 00:00:00")
-    touch(tmp_path, "a.jpg", jpeg(shot))
-    touch(tmp_path, "b.png", png(exif(">", "2015:02:03 00:00:00")))
-    touch(tmp_path, "c.NEF", exif(">", modified="2016:03:04 00:00:00"))
-    touch(tmp_path, "d.heic", box(b"ftyp", b"heic") + box(b"mdat", b"junk" + b"Exif\0\0" + shot))
-    touch(tmp_path, "e.CR3", box(b"ftyp", b"crx ") + box(b"moov", box(b"uuid", b"u" * 16 + box(b"CMT1", exif("<", "2017:04:05 00:00:00")))))
-    touch(tmp_path, "f.mov", movie(90, apple="2014-07-12T23:30:00-0500"))
-    touch(tmp_path, "g.mp4", movie(1201, created=3_482_844_800, height=236, version=1))
-    touch(tmp_path, "h.mp4", box(b"ftyp", b"isom") + box(b"mdat", b"\1" * 64))
-    touch(tmp_path, "i.mov", b"junk")
-    raw = metadata.read_media_metadata(spark, str(tmp_path))
-    found = {os.path.basename(r["path"]): r for r in raw.collect()}
-    assert [found[n]["exif_original"] for n in ("a.jpg", "b.png", "d.heic", "e.CR3")] == [
-        "2014:07:12 14:23:11", "2015:02:03 00:00:00", "2014:07:12 14:23:11", "2017:04:05 00:00:00"
-    ]
-    assert found["a.jpg"]["exif_modified"] == "2020:01:01 00:00:00" and found["c.NEF"]["exif_modified"] == "2016:03:04 00:00:00"
-    assert (found["f.mov"]["duration_s"], found["f.mov"]["short_side"], found["f.mov"]["unfinished"]) == (90.0, 1080, False)
-    assert found["f.mov"]["apple_date"] == "2014-07-12T23:30:00-0500"
-    assert (found["g.mp4"]["mvhd_seconds"], found["g.mp4"]["short_side"]) == (3_482_844_800, 236)
-    assert found["h.mp4"]["unfinished"] and not found["i.mov"]["unfinished"]
-    assert found["i.mov"]["exif_original"] is None and found["i.mov"]["duration_s"] is None
-    refused = raw.select("path", media.video_refusal(
-        F.col("path"), F.col("unfinished"), F.col("duration_s"), F.col("short_side"))["code"].alias("code"))
-    codes = {os.path.basename(r["path"]): r["code"] for r in refused.collect()}
-    assert (codes["f.mov"], codes["g.mp4"], codes["h.mp4"]) == (None, 71, 64)
-    days = raw.select("path", dates.video_date(F.col("apple_date"), F.col("mvhd_seconds"), "2026-12-01").alias("day")).collect()
-    assert {os.path.basename(r["path"]): str(r["day"]) for r in days if r["day"]} == {"f.mov": "2014-07-12", "g.mp4": "2014-05-13"}
-    sized = metadata.read_media_metadata(spark, str(tmp_path), max_bytes=10)
-    assert sized.count() == 9 and sized.where("exif_original is not null").count() == 0
-
-
-def test_every_truncation_of_a_movie_is_survived():
-    whole = movie(90, apple="2014-07-12T23:30:00-0500")
-    for end in range(len(whole)):
-        fields = metadata.file_fields(whole[:end], True)
-        assert fields.get("duration_s") in (None, 90.0)
-    for cut_off in range(0, 200, 3):
-        metadata.file_fields(jpeg(exif("<", "2014:07:12 14:23:11"))[:cut_off], False)

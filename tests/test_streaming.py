@@ -26,36 +26,38 @@ def steps(spark, folder, count=3):
         yield whole
 
 
-def run(stream, sink, checkpoint, mode="append"):
-    query = stream.writeStream.format("parquet").outputMode(mode).option("checkpointLocation", str(checkpoint)).trigger(
-        availableNow=True).start(str(sink))
-    query.awaitTermination()
-
-
 def test_dedup(spark, tmp_path):
+    folders = [str(tmp_path / name) for name in ("leaders", "told", "cp")]
     for whole in steps(spark, tmp_path / "in"):
-        run(jobs.stream_dedup(spark.readStream.schema(SCHEMA).parquet(str(tmp_path / "in"))), tmp_path / "out", tmp_path / "cp")
-    found = spark.read.parquet(str(tmp_path / "out"))
-    leaders = copies.elect_copies(whole).where("is_leader")
-    assert found.count() == 11 and found.select("sha256").exceptAll(leaders.select("sha256")).count() == 0
+        source = spark.readStream.schema(SCHEMA).parquet(str(tmp_path / "in"))
+        jobs.stream_dedup(source, *folders).awaitTermination()
+    told = spark.read.parquet(folders[1]).select("path", "sha256", "leader", "is_leader")
+    # The parts come in path order, so who leads is who leads the whole.
+    leads = copies.elect_copies(whole).select("path", "sha256", "leader", "is_leader")
+    assert told.count() == 30 and told.exceptAll(leads).count() == 0
 
 
 def test_change_detection(spark, tmp_path):
-    schema = "path string, size bigint, mtime_ns bigint, sha256 string"
+    schema = "path string, size bigint, mtime_ns bigint, sha256 string, failed string"
     arrivals = [
-        [("a", 1, 1, "x"), ("b", 1, 1, "y")],
-        [("a", 1, 1, "x"), ("b", 1, 2, "y"), ("c", 3, 3, "z")],
-        [("a", 2, 2, "w"), ("b", 1, 2, "y"), ("c", 3, 3, "z"), ("c", 3, 9, "z")],
+        [("a", 1, 1, "x", None), ("b", 1, 1, "y", None), ("d", 5, 5, "v", "too big")],
+        [("a", 1, 1, "x", None), ("b", 1, 2, "y", None), ("c", 3, 3, "z", None), ("d", 5, 5, "v", None)],
+        [("a", 2, 2, "w", None), ("b", 1, 2, "y", None), ("c", 3, 3, "z", None), ("c", 3, 9, "z", None), ("d", 5, 5, "v", None), ("d", 5, 6, "v", None)],
+        [("d", 5, 6, "v", None)],
     ]
+    folders = [str(tmp_path / name) for name in ("records", "told", "cp")]
     for part in arrivals:
         spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
         source = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
-        run(jobs.stream_change_detect(source), tmp_path / "out", tmp_path / "cp")
-    found = sorted((r["path"], r["mtime_ns"], r["status"]) for r in spark.read.parquet(str(tmp_path / "out")).collect())
+        jobs.stream_change_detect(source, *folders).awaitTermination()
+    found = sorted((r["path"], r["mtime_ns"], r["status"]) for r in spark.read.parquet(folders[1]).collect())
     assert found == [
         ("a", 1, "new"), ("a", 1, "unchanged"), ("a", 2, "changed"), ("b", 1, "new"), ("b", 2, "touched"), ("b", 2, "unchanged"),
         ("c", 3, "new"), ("c", 3, "unchanged"), ("c", 9, "touched"),
+        ("d", 5, "new"), ("d", 5, "refused"), ("d", 5, "refused"), ("d", 6, "touched"), ("d", 6, "unchanged"),
     ]
+    # A batch writes the records of its own paths.
+    assert spark.read.parquet(f"{folders[0]}/batch=3").count() == 1
 
 
 def test_slots(spark, tmp_path):
@@ -74,7 +76,7 @@ def test_slots(spark, tmp_path):
 def test_day_counts(spark, tmp_path):
     for whole in steps(spark, tmp_path / "in"):
         source = spark.readStream.schema(SCHEMA).parquet(str(tmp_path / "in"))
-        counts = jobs.stream_day_counts(source, late="30 days")
+        counts = jobs.stream_day_counts(source)
         query = counts.writeStream.outputMode("update").option("checkpointLocation", str(tmp_path / "cp")).trigger(
             availableNow=True).foreachBatch(
             lambda batch, n: batch.write.mode("overwrite").parquet(f"{tmp_path}/out/batch={n}")).start()
@@ -111,6 +113,35 @@ def test_planning_keeps_state_between_batches(spark, tmp_path):
     assert [r["action"] for r in again.select("action").distinct().collect()] == ["unchanged"]
 
 
+def test_planning_carries_names_and_room(spark, tmp_path):
+    """Equal names of other content, more files than an album holds, copies of one day: over three batches."""
+    day = dt.date(2014, 7, 12)
+    name = "IMG_20140712.jpg"
+    parts = [
+        [("/lib/a/" + name, "s1", "m1" * 16), ("/lib/b/IMG_20140712_1.jpg", "s2", "m2" * 16)],
+        [("/lib/c/" + name, "s3", "m3" * 16), ("/lib/d/IMG_20140712_2.jpg", "s1", "m1" * 16), ("/lib/e/IMG_20140712_3.jpg", "s4", "m4" * 16)],
+        [("/lib/f/" + name, "s5", "m5" * 16), ("/lib/g/IMG_20140712_1.jpg", "s6", "m6" * 16), ("/lib/h/x/IMG_20140712_9.jpg", "s2", "m2" * 16)],
+    ]
+    albums = spark.createDataFrame([("K", "2014-07-12", 1)], "album_key string, name string, image_count bigint")
+    images = spark.createDataFrame([], "album_key string, file_name string, md5 string, uri string")
+    options = DatedOptions(as_of="2026-12-01", root="/lib", capacity=2)
+    for part in parts:
+        rows = [(path, str(day), sha, md5, 10, 1000, day, "file name") for path, sha, md5 in part]
+        spark.createDataFrame(rows, SCHEMA).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        source = spark.readStream.schema(SCHEMA).parquet(str(tmp_path / "in"))
+        jobs.stream_plan(source, str(tmp_path / "state"), str(tmp_path / "actions"), albums, images, options, str(tmp_path / "cp")).awaitTermination()
+    done = spark.read.parquet(str(tmp_path / "actions")).collect()
+    sent = [(r["album_name"], r["target_name"]) for r in done if r["action"] == "uploaded"]
+    assert len(sent) == 6 == len(set(n for _, n in sent))
+    filled = {}
+    for album, _ in sent:
+        filled[album] = filled.get(album, 0) + 1
+    assert filled == {"2014-07-12": 1, "2014-07-12 (2)": 2, "2014-07-12 (3)": 2, "2014-07-12 (4)": 1}
+    assert sorted(r["path"] for r in done if r["action"] == "linked") == ["/lib/d/IMG_20140712_2.jpg", "/lib/h/x/IMG_20140712_9.jpg"]
+    assert {r["album_key"] for r in done if r["album_name"] == "2014-07-12"} == {"K"}
+    assert sum(r["created"] for r in done if r["action"] == "uploaded") >= 3
+
+
 def test_a_failing_run_does_not_stop_the_next():
     outcomes = iter([RuntimeError("no network"), None])
 
