@@ -159,7 +159,8 @@ def _verifier(threshold: float, least: float):
                 h1.append(own)
                 sets += [np.unique(values[x:y]) for x, y in zip(bounds[:-1], bounds[1:], strict=True)]
             # Rows that share an id bring other texts too, or this one twice.
-            right = (np.concatenate(h1) == frame["h1"].to_numpy()) & ~frame.duplicated([*_TASK, "rep", "h1"]).to_numpy()
+            right = np.concatenate(h1) == frame["h1"].to_numpy()
+            right[right] = ~frame.loc[right].duplicated([*_TASK, "rep", "h1"]).to_numpy()
             if not right.all():
                 sets = [x for x, good in zip(sets, right, strict=True) if good]
                 frame = frame.loc[right].reset_index(drop=True)

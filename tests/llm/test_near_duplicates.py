@@ -161,7 +161,7 @@ def test_planted_passages(spark):
         if i % 4 == 1:
             words[at:at] = shared
         if i % 4 == 2:
-            words[at:at] = edited(rng, other, 3)
+            words[at:at] = edited(rng, other, 1)
         rows.append((i, " ".join(words)))
     rows += [(100, " ".join(passage(rng, 30) + shared[:49] + passage(rng, 30))), (101, ""), (102, None), (None, " ".join(shared)), (103, "a b c"), (104, "and " * 5000), (105, "and " * 300)]
     docs = documents(spark, rows)
