@@ -1,97 +1,111 @@
-"""Token ids of whole texts, word by word: each distinct word is encoded once per worker.
+"""Token ids of whole texts, piece by piece: each distinct piece is encoded once per worker.
 
-Both vocabularies cut a text before every word, so a text's ids are those of its words one
-after the other.  Where that may not hold (white space other than single spaces and line
-ends, control characters) the text goes to the tokenizer as it is.
+Both vocabularies first part a text into pieces (runs of letters, digits or marks) and encode
+each by itself, so a text's ids are those of its pieces one after the other.  Texts of Latin
+letters are parted here by the same rule, and what is new among their pieces goes to the
+tokenizer in one call; any other text goes to it as it is.
 """
 
 from __future__ import annotations
 
 import re
 from functools import cache
+from itertools import chain, repeat
 
 import numpy as np
-import pandas as pd
-
-# Letters of these ranges are letters to the tokenizers too; words of others go to them whole.
-_LETTERS = "[A-Za-zÀ-ÖØ-öø-ɏ]+"
-_MARKS = r"[!-/:-@\[-`{-~]+"
-_WORD = re.compile(rf"( ?{_LETTERS})({_MARKS})?(?:(\n)({_LETTERS})?({_MARKS})?)?| ?{_MARKS}")
-_ODD = re.compile(r"\s\s|^\s|\s$|[^\S \n]")
-_CONTROLS = re.compile("[\x00\x1c-\x1f\x85]")
-# Distinct words and pieces kept per worker; beyond, all are let go.
-_KEPT = 1 << 19
+
+# Characters whose kind is known here: what holds others goes to the tokenizer whole.
+_LETTERS = "A-Za-zÀ-ÖØ-öø-įı-ɏ"
+_MARKS = r"!-/:-@\[-`{-~"
+_SPACES = " \n\t\r"
+# Pieces by a space that belongs to what follows it, and pieces without white space.
+_SPACED = re.compile(rf" ?[{_LETTERS}]+| ?[0-9]+|'(?:[sdmt]|ll|ve|re)| ?[{_MARKS}]+|[{_SPACES}]+(?![^{_SPACES}])|[{_SPACES}]+")
+_BARE = re.compile(rf"[{_LETTERS}]+|[0-9]|'(?:[sStTmMdD]|[rR][eE]|[vV][eE]|[lL][lL])|[{_MARKS}]+")
+# Distinct pieces kept per worker; beyond, all are let go.
+_KEPT = 1 << 20
+# Pieces to a call of the tokenizer.
+_RUN = 1000
 # Characters encoded at once.
-_BATCH = 4_000_000
+_BATCH = 2_000_000
 
 
 class Encoder:
-    """`spaced`: a space belongs to the word that follows it; else white space is dropped."""
+    """`spaced`: a space belongs to the piece that follows it; else white space is dropped."""
 
     def __init__(self, path: str, spaced: bool):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.spaced = Tokenizer.from_file(path), spaced
+        self.tokenizer, self.spaced, self.find = Tokenizer.from_file(path), spaced, (_SPACED if spaced else _BARE).findall
+        vocabulary = self.tokenizer.get_vocab()
+        # How many bytes a token stands for, and whether it ends a piece: one of them tells pieces apart.
+        self.bytes, self.ends = np.zeros(max(vocabulary.values()) + 1, np.int64), np.zeros(max(vocabulary.values()) + 1, bool)
+        for token, k in vocabulary.items():
+            self.bytes[k], self.ends[k] = len(token), token.endswith("</w>")
         self.forget()
 
     def forget(self) -> None:
-        self.words: dict[str, int] = {}
-        self.pieces: dict[str, list[int]] = {}
-        self.pool, self.used = np.empty(1 << 20, np.uint32), 0
-        self.starts, self.sizes = np.empty(1 << 16, np.int64), np.empty(1 << 16, np.int64)
-
-    def _add(self, word: str, ids: list[int]) -> None:
-        n, k = len(ids), len(self.words)
-        if self.used + n > len(self.pool):
-            self.pool = np.resize(self.pool, 2 * len(self.pool) + n)
-        if k == len(self.starts):
-            self.starts, self.sizes = np.resize(self.starts, 2 * k), np.resize(self.sizes, 2 * k)
-        self.pool[self.used : self.used + n] = ids
-        self.starts[k], self.sizes[k] = self.used, n
-        self.used += n
-        self.words[word] = k
+        self.pieces: dict[str, int] = {}
+        self.pool, self.bounds = np.empty(0, np.uint32), np.zeros(1, np.int64)
 
     def _whole(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, words: list[str]) -> None:
-        parts = [[p for p in m.groups() if p] or [w] if (m := _WORD.fullmatch(w)) else [w] for w in words]
-        new = list({p: None for ps in parts for p in ps if p not in self.pieces})
-        self.pieces.update(zip(new, self._whole(new), strict=True))
-        for word, ps in zip(words, parts, strict=True):
-            self._add(word, self.pieces[ps[0]] if len(ps) == 1 else [i for p in ps for i in self.pieces[p]])
+    def _learn(self, new: list[str]) -> None:
+        # Many pieces to a call: one result holds the ids of all.
+        runs = [new[k : k + _RUN] for k in range(0, len(new), _RUN)]
+        told = self.tokenizer.encode_batch_fast(runs, is_pretokenized=True, add_special_tokens=False)
+        ids = np.concatenate([np.array(e.ids, np.uint32) for e in told])
+        if self.spaced:
+            upto, wanted = np.cumsum(self.bytes[ids]), np.cumsum([len(p.encode()) for p in new])
+            ends = np.minimum(np.searchsorted(upto, wanted), len(ids) - 1) + 1
+            right = (upto[ends - 1] == wanted).all()
+        else:
+            ends = np.flatnonzero(self.ends[ids]) + 1
+            right = len(ends) == len(new)
+        if not right:
+            each = self._whole(new)
+            ids, ends = np.array([*chain.from_iterable(each)], np.uint32), np.cumsum([len(x) for x in each])
+        self.pieces.update(zip(new, range(len(self.pieces), len(self.pieces) + len(new)), strict=True))
+        self.bounds = np.concatenate((self.bounds, len(self.pool) + ends))
+        self.pool = np.concatenate((self.pool, ids))
+
+    def _part(self, text: str) -> list[str] | None:
+        """The pieces of a text, or None where one of its characters is in none of them."""
+        pieces = self.find(text)
+        dropped = 0 if self.spaced else sum(map(text.count, _SPACES))
+        # Special tokens begin with these two marks.
+        return pieces if sum(map(len, pieces)) + dropped == len(text) and "<|" not in text else None
+
+    def _places(self, flat: list[str]) -> np.ndarray:
+        index = np.fromiter(map(self.pieces.get, flat, repeat(-1)), np.int64, len(flat))
+        missing = np.flatnonzero(index < 0)
+        if len(missing):
+            asked = [flat[k] for k in missing.tolist()]
+            new = list(dict.fromkeys(asked))
+            if len(self.pieces) and len(self.pieces) + len(new) > _KEPT:
+                self.forget()
+                return self._places(flat)
+            self._learn(new)
+            index[missing] = np.fromiter(map(self.pieces.__getitem__, asked), np.int64, len(asked))
+        return index
 
     def _batch(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        odd = (_ODD if self.spaced else _CONTROLS).search
-        cut = [None if odd(t) else self._cut(t) for t in texts]
-        flat = [w for words in cut if words is not None for w in words]
-        codes, distinct = pd.factorize(np.array([*flat, None], dtype=object)[:-1])
-        if len(self.words) + len(distinct) > _KEPT:
-            self.forget()
-        self._learn([w for w in distinct if w not in self.words])
-        index = np.fromiter(map(self.words.__getitem__, distinct), np.int64, len(distinct))[codes] if flat else np.empty(0, np.int64)
-        sizes = self.sizes[index]
+        cut = [self._part(t) for t in texts]
+        index = self._places([*chain.from_iterable(p for p in cut if p)])
+        sizes = np.diff(self.bounds)[index]
         at = np.concatenate(([0], np.cumsum(sizes)))
-        ids = self.pool[np.repeat(self.starts[index] - at[:-1], sizes) + np.arange(at[-1])]
-        n_words = np.array([0 if w is None else len(w) for w in cut])
-        ends = at[np.cumsum(n_words)]
+        ids = self.pool[np.repeat(self.bounds[index] - at[:-1], sizes) + np.arange(at[-1])]
+        ends = at[np.cumsum([0 if p is None else len(p) for p in cut])]
         lengths = np.diff(np.concatenate(([0], ends)))
-        if any(w is None for w in cut):
-            others = [k for k, w in enumerate(cut) if w is None]
-            own = self._whole([texts[k] for k in others])
+        others = [k for k, p in enumerate(cut) if p is None]
+        if others:
             pieces = np.split(ids, ends[:-1])
-            for k, x in zip(others, own, strict=True):
+            for k, x in zip(others, self._whole([texts[k] for k in others]), strict=True):
                 pieces[k] = np.array(x, np.uint32)
                 lengths[k] = len(x)
             ids = np.concatenate(pieces)
         return ids, lengths
 
-    def _cut(self, text: str) -> list[str]:
-        if not self.spaced:
-            return text.split()
-        first, *rest = text.split(" ")
-        return ([first] if first else []) + [" " + w for w in rest]
-
     def batches(self, texts: list[str | None]):
         """(from, to, ids, lengths) of runs of texts; null texts are empty."""
         begin, size = 0, 0
