@@ -5,7 +5,8 @@ Selector 15 is an escape: the next word is one value as it stands.  A file set i
 of Parquet files in ascending order of documents, written by Spark's committer, so it needs
 no shared disk but the folder's own and a lost executor leaves no half file.  A row is a
 block: its documents and their lengths, its words, and `offsets`, the first id of every
-`STRIDE`-th word, from which words decode independently; decoding is vectorised.
+`STRIDE`-th word (-1 where that is an escaped value), from which words decode independently;
+decoding is vectorised.
 
 Null texts are empty ones and have the end id alone.  Null document ids come first.
 Repeated ids keep an order by text.  An empty table writes an empty set.
@@ -34,38 +35,65 @@ BLOCK_IDS = 1 << 17
 BLOCK_SCHEMA = "file int, block int, doc_ids array<bigint>, lengths array<bigint>, n_ids bigint, offsets array<bigint>, words binary"
 
 
-def encode(values: np.ndarray) -> np.ndarray:
-    """Words of unsigned 64-bit values: at each place the selector that holds most."""
+def _runs(good: np.ndarray, count: int) -> np.ndarray:
+    """Where `count` in a row hold, by doubling; shorter by what no longer fits."""
+    size = 1
+    while size * 2 <= count:
+        good = good[:-size] & good[size:]
+        size *= 2
+    rest = count - size
+    return good[:-rest] & good[rest:] if rest else good
+
+
+_BITS = np.array([n.bit_length() for n in range(1 << 16)], np.uint8)
+
+
+def _bits(values: np.ndarray) -> np.ndarray:
+    if not len(values) or values.max() < len(_BITS):
+        return _BITS[values.astype(np.int64)]
+    return np.searchsorted(np.uint64(1) << np.arange(64, dtype=np.uint64), values, side="right").astype(np.uint8)
+
+
+def encode(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(words, first value's number of each) of unsigned 64-bit values.
+
+    At each place the selector that holds most is taken; the last word may hold fewer.
+    """
     values = np.asarray(values, np.uint64)
     n = len(values)
-    best = np.full(n, ESCAPE, np.int64)
-    rest = n - np.arange(n)
+    bits = _bits(values)
+    best = np.full(n, ESCAPE, np.uint8)
     for selector in reversed(range(len(COUNTS))):
         count, width = COUNTS[selector], WIDTHS[selector]
-        # Runs of zeros, and of ones, need no bits.
-        fits = values == (1 - selector) if width == 0 else values >> np.uint64(width) == 0
-        stops = np.append(np.flatnonzero(~fits), n)
-        run = stops[np.searchsorted(stops, np.arange(n))] - np.arange(n)
-        best[(run >= count) & (rest >= count)] = selector
-        if width:  # a tail shorter than the selector's count is padded
-            best[(run == rest) & (rest < count)] = selector
-    step = np.minimum(np.array([*COUNTS, 1])[best], rest).tolist()
+        # Runs of ones, and of zeros, need no bits.
+        good = bits <= width if width else values == 1 - selector
+        if n >= count:
+            np.copyto(best[: n - count + 1], np.uint8(selector), where=_runs(good, count))
+        if width:  # the end of the values may be shorter than the selector's count
+            tail = good[max(0, n - count + 1) :][::-1]
+            held = len(tail) if tail.all() else int(np.argmin(tail))
+            if held:
+                best[n - held :] = selector
+    step = np.array([*COUNTS, 1], np.uint8)[best].tobytes()
     taken, at = [], 0
     while at < n:
         taken.append(at)
         at += step[at]
     at = np.array(taken, np.int64)
-    selectors = best[at]
+    selectors = best[at].astype(np.int64)
     words = selectors.astype(np.uint64) << np.uint64(60)
     padded = np.concatenate((values, np.zeros(max(COUNTS), np.uint64)))
     for selector, (count, width) in enumerate(zip(COUNTS, WIDTHS, strict=True)):
         own = np.flatnonzero(selectors == selector)
         if width and len(own):
-            places = at[own, None] + np.arange(count)
-            inside = np.where(places < n, padded[np.minimum(places, n)], 0).astype(np.uint64)
-            words[own] |= np.bitwise_or.reduce(inside << (np.arange(count) * width).astype(np.uint64), axis=1)
+            packed, begins = words[own], at[own]
+            for k in range(count):
+                packed |= padded[begins + k] << np.uint64(k * width)
+            words[own] = packed
     escaped = np.flatnonzero(selectors == ESCAPE)
-    return np.insert(words, escaped + 1, values[at[escaped]]) if len(escaped) else words
+    if not len(escaped):
+        return words, at
+    return np.insert(words, escaped + 1, values[at[escaped]]), np.insert(at, escaped + 1, -1)
 
 
 def decode(words: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -97,8 +125,7 @@ def decode(words: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _block(file: int, number: int, docs: list, lengths: list, ids: np.ndarray) -> dict:
-    words = encode(ids)
-    _, begins = decode(words, len(ids))
+    words, begins = encode(ids)
     marks = begins[::STRIDE]
     return {
         "file": file, "block": number, "doc_ids": docs, "lengths": [int(x) for x in lengths], "n_ids": len(ids),
