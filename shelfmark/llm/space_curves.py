@@ -105,7 +105,7 @@ def _nearest(window: int, chunk: int, k: int):
 
 
 def nearest(
-    embeddings: DataFrame, every: int = 20, k: int = 20, orderings: int = 18, window: int = 1024, dims: int = 8, bits: int = 3, seed: int = 7,
+    embeddings: DataFrame, every: int = 20, k: int = 20, orderings: int = 26, window: int = 1024, dims: int = 8, bits: int = 3, seed: int = 7,
 ) -> DataFrame:
     """query_id, rank, vec_id, score: for rows whose vec_id is divisible by `every`, the k
     nearest found among all other rows of (vec_id, embedding)."""
