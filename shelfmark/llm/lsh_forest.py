@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 from shelfmark.llm.components import components
 from shelfmark.llm.frames import changes, connected, grouped, whole_groups
 from shelfmark.llm.shingles import hashed, mixed
+from shelfmark.llm.workers import tidy
 from shelfmark.session import cut
 
 TREES = 16
@@ -108,6 +109,8 @@ def _alike(signatures: np.ndarray, buckets: np.ndarray, tree: np.ndarray, side:
 
 
 _TASK = ["bucket", "low", "high"]
+# Cells of an incidence matrix held at once.
+_CELLS = 4_000_000
 
 
 def _frame_pairs(frame: pd.DataFrame, new: np.ndarray, least: float):
@@ -135,14 +138,19 @@ def _common(sets: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndarray:
         # Many pairs of few sets: the product of the incidence matrix of what two share.
         values, code, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
         shared = np.flatnonzero(count > 1)
-        if len(shared) * len(sets) <= 40_000_000:
+        if len(shared) * len(sets) <= 40 * _CELLS:
             column = np.full(len(values), -1)
             column[shared] = np.arange(len(shared))
+            column = column[code]
             row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
-            held = column[code] >= 0
-            incidence = np.zeros((len(sets), len(shared)), np.float32)
-            incidence[row[held], column[code][held]] = 1
-            return np.rint((incidence @ incidence.T)[a, b]).astype(np.int64)
+            common, step = np.zeros((len(sets), len(sets)), np.float32), max(1, _CELLS // len(sets))
+            # A few columns at a time, so that memory is bounded.
+            for first in range(0, len(shared), step):
+                held = (column >= first) & (column < first + step)
+                incidence = np.zeros((len(sets), min(step, len(shared) - first)), np.float32)
+                incidence[row[held], column[held] - first] = 1
+                common += incidence @ incidence.T
+            return np.rint(common[a, b]).astype(np.int64)
     return np.array([len(np.intersect1d(sets[i], sets[j], assume_unique=True)) for i, j in zip(a, b, strict=True)], np.int64)
 
 
@@ -198,7 +206,7 @@ def signed(docs: DataFrame, depth: int, trees: int = TREES) -> DataFrame:
     """(doc_id, h1, h2, n_words, signature) of every row; h1 and h2 name a text's words in
     order and are null where there is nothing to compare."""
     return docs.select("doc_id", "text").mapInPandas(
-        _signer(trees * depth), "doc_id bigint, h1 bigint, h2 bigint, n_words bigint, signature array<int>"
+        tidy(_signer(trees * depth)), "doc_id bigint, h1 bigint, h2 bigint, n_words bigint, signature array<int>"
     )
 
 
@@ -252,11 +260,11 @@ def join(
         .withColumn("low", F.least("side", "_other")).withColumn("high", F.greatest("side", "_other"))
         .select("bucket", "low", "high", "side", "tree", "rep", "h1", "copies", "signature", "buckets")
     )
-    flagged = grouped(tasks, _TASK, ["rep"]).mapInPandas(_flagger(least), tasks.schema)
+    flagged = grouped(tasks, _TASK, ["rep"]).mapInPandas(tidy(_flagger(least)), tasks.schema)
     flagged = cut(flagged, "candidates")
     given = docs.select(F.col("doc_id").alias("rep"), "text").where(F.col("rep").isNotNull())
     with_text = flagged.join(given, "rep")
-    verified = grouped(with_text, _TASK, ["rep"]).mapInPandas(_verifier(threshold, least), "rep bigint, links bigint, to bigint")
+    verified = grouped(with_text, _TASK, ["rep"]).mapInPandas(tidy(_verifier(threshold, least)), "rep bigint, links bigint, to bigint")
     verified = cut(verified, "links")
     links = verified.groupBy("rep").agg(F.sum("links").alias("links"))
     classes = components(verified.select(F.col("rep").alias("a"), F.col("to").alias("b")))

@@ -21,6 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 
 from shelfmark.llm.tokens import encoder
+from shelfmark.llm.workers import tidy
 
 SCHEMA = (
     "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, "
@@ -130,4 +131,4 @@ def pack(
     """
     if longest & (longest - 1) or shortest & (shortest - 1) or not 0 < shortest <= longest:
         raise ValueError("tiers are powers of two")
-    return docs.select("doc_id", "text").mapInPandas(_packer(tokenizer, end_id, longest, shortest, step_tokens), SCHEMA)
+    return docs.select("doc_id", "text").mapInPandas(tidy(_packer(tokenizer, end_id, longest, shortest, step_tokens)), SCHEMA)

@@ -23,13 +23,15 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from shelfmark.llm.workers import busy, idle, tidy
+
 PASSAGE_WORDS = 64
 _BUCKETS = 128
 _CLASSES = 8
 _STATS = 6
 DIMENSIONS = _CLASSES + _STATS + _BUCKETS
 # Characters encoded at once.
-_BATCH = 2_000_000
+_BATCH = 300_000
 
 
 def _class_table() -> np.ndarray:
@@ -206,7 +208,7 @@ def learn(docs: DataFrame, labels: DataFrame, max_documents: int = 4000, max_pas
     )
     # Bounded by max_documents; a document's copies under one id count once.
     texts = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").groupBy("doc_id", "_label").agg(F.min("text").alias("text"))
-    rows = sorted((bytes(r[0]), r[1]) for r in texts.mapInPandas(_bags(max_passages), "bag binary, label double").collect())
+    rows = sorted((bytes(r[0]), r[1]) for r in texts.mapInPandas(tidy(_bags(max_passages)), "bag binary, label double").collect())
     return fit([np.frombuffer(b, "<f4").reshape(-1, DIMENSIONS).astype(float) for b, _ in rows], np.array([y for _, y in rows]))
 
 
@@ -214,6 +216,7 @@ def score_of(text: Column, model: Model | Constant) -> Column:
     """The score of a text column; other columns of the table stay on Spark's side."""
     @F.pandas_udf("double")
     def scores(series: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        busy()
         for part in series:
             texts, out, begin, size = part.tolist(), [], 0, 0
             for k, text in enumerate(texts):
@@ -222,6 +225,7 @@ def score_of(text: Column, model: Model | Constant) -> Column:
                     out.append(model.score(*encode(texts[begin : k + 1])))
                     begin, size = k + 1, 0
             yield pd.Series(np.concatenate(out) if out else np.zeros(0))
+        idle()
 
     return scores(text)
 

@@ -9,7 +9,7 @@ import pandas as pd
 
 SHINGLE = 5
 # Characters hashed at once.
-_BATCH = 2_000_000
+_BATCH = 500_000
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
 
 

@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from shelfmark.llm.tokens import encoder
+from shelfmark.llm.workers import tidy
 from shelfmark.session import scratch_dir
 
 # Fixed values of the code: ids to a word and bits of each, by selector.
@@ -166,7 +167,7 @@ def write(docs: DataFrame, path: str, tokenizer: str = "word_bpe_49k.json", end_
         docs.select("doc_id", "text").repartitionByRange(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
         .sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
     )
-    ordered.mapInPandas(_writer(tokenizer, end_id), BLOCK_SCHEMA).write.option("compression", "none").parquet(path)
+    ordered.mapInPandas(tidy(_writer(tokenizer, end_id)), BLOCK_SCHEMA).write.option("compression", "none").parquet(path)
 
 
 def _reader(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -196,7 +197,7 @@ def read_digests(spark: SparkSession, path: str) -> DataFrame:
     starts = blocks.select("file", "block", (F.sum("n_ids").over(inner) - F.col("n_ids")).alias("_block_before"))
     starts = starts.join(files, "file").select("file", "block", (F.col("_file_before") + F.col("_block_before")).alias("before"))
     return blocks.join(starts, ["file", "block"]).mapInPandas(
-        _reader, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint, file int, block int"
+        tidy(_reader), "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint, file int, block int"
     )
 
 

@@ -8,12 +8,15 @@ tokenizer in one call; any other text goes to it as it is.
 
 from __future__ import annotations
 
+import os
 import re
 from functools import cache
-from itertools import chain, repeat
+from itertools import chain
 
 import numpy as np
 
+from shelfmark.llm import workers
+
 # Characters whose kind is known here: what holds others goes to the tokenizer whole.
 _LETTERS = "A-Za-zÀ-ÖØ-öø-įı-ɏ"
 _MARKS = r"!-/:-@\[-`{-~"
@@ -26,7 +29,7 @@ _KEPT = 1 << 20
 # Pieces to a call of the tokenizer.
 _RUN = 1000
 # Characters encoded at once.
-_BATCH = 2_000_000
+_BATCH = 500_000
 
 
 class Encoder:
@@ -44,8 +47,40 @@ class Encoder:
         self.forget()
 
     def forget(self) -> None:
-        self.pieces: dict[str, int] = {}
-        self.pool, self.bounds = np.empty(0, np.uint32), np.zeros(1, np.int64)
+        # An open hash table from the 64-bit hashes of pieces to their numbers: a tenth of a dictionary's memory.
+        self.count = 0
+        self.hashes, self.numbers = np.zeros(2 * _KEPT, np.int64), np.full(2 * _KEPT, -1, np.int32)
+        self.pool, self.bounds = np.empty(0, np.uint16 if len(self.bytes) <= 1 << 16 else np.uint32), np.zeros(1, np.int32)
+
+    def _slots(self, hashes: np.ndarray) -> np.ndarray:
+        return (hashes ^ (hashes >> 29)) & (2 * _KEPT - 1)
+
+    def _numbers(self, hashes: np.ndarray) -> np.ndarray:
+        """The numbers of known pieces, -1 for others."""
+        slots = self._slots(hashes)
+        found = self.numbers[slots]
+        astray = np.flatnonzero((found >= 0) & (self.hashes[slots] != hashes))
+        while len(astray):
+            slots[astray] = (slots[astray] + 1) & (2 * _KEPT - 1)
+            found[astray] = self.numbers[slots[astray]]
+            astray = astray[(found[astray] >= 0) & (self.hashes[slots[astray]] != hashes[astray])]
+        return found
+
+    def _enter(self, hashes: np.ndarray) -> None:
+        """Numbers new pieces, whose hashes differ, in order."""
+        numbers = np.arange(self.count, self.count + len(hashes), dtype=np.int32)
+        slots, left = self._slots(hashes), np.arange(len(hashes))
+        while len(left):
+            # One to a free slot; the others move on.
+            _, first = np.unique(slots[left], return_index=True)
+            chosen = left[first]
+            chosen = chosen[self.numbers[slots[chosen]] < 0]
+            self.hashes[slots[chosen]], self.numbers[slots[chosen]] = hashes[chosen], numbers[chosen]
+            placed = np.zeros(len(hashes), bool)
+            placed[chosen] = True
+            left = left[~placed[left]]
+            slots[left] = (slots[left] + 1) & (2 * _KEPT - 1)
+        self.count += len(hashes)
 
     def _whole(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -53,8 +88,10 @@ class Encoder:
     def _learn(self, new: list[str]) -> None:
         # Many pieces to a call: one result holds the ids of all.
         runs = [new[k : k + _RUN] for k in range(0, len(new), _RUN)]
-        told = self.tokenizer.encode_batch_fast(runs, is_pretokenized=True, add_special_tokens=False)
-        ids = np.concatenate([np.array(e.ids, np.uint32) for e in told])
+        ids = np.concatenate([
+            np.array(e.ids, np.uint32) for k in range(0, len(runs), 8)
+            for e in self.tokenizer.encode_batch_fast(runs[k : k + 8], is_pretokenized=True, add_special_tokens=False)
+        ])
         if self.spaced:
             upto, wanted = np.cumsum(self.bytes[ids]), np.cumsum([len(p.encode()) for p in new])
             ends = np.minimum(np.searchsorted(upto, wanted), len(ids) - 1) + 1
@@ -65,9 +102,8 @@ class Encoder:
         if not right:
             each = self._whole(new)
             ids, ends = np.array([*chain.from_iterable(each)], np.uint32), np.cumsum([len(x) for x in each])
-        self.pieces.update(zip(new, range(len(self.pieces), len(self.pieces) + len(new)), strict=True))
-        self.bounds = np.concatenate((self.bounds, len(self.pool) + ends))
-        self.pool = np.concatenate((self.pool, ids))
+        self.bounds = np.concatenate((self.bounds, (len(self.pool) + ends).astype(np.int32)))
+        self.pool = np.concatenate((self.pool, ids.astype(self.pool.dtype)))
 
     def _part(self, text: str) -> list[str] | None:
         """The pieces of a text, or None where one of its characters is in none of them."""
@@ -77,24 +113,27 @@ class Encoder:
         return pieces if sum(map(len, pieces)) + dropped == len(text) and "<|" not in text else None
 
     def _places(self, flat: list[str]) -> np.ndarray:
-        index = np.fromiter(map(self.pieces.get, flat, repeat(-1)), np.int64, len(flat))
-        missing = np.flatnonzero(index < 0)
+        hashes = np.fromiter(map(hash, flat), np.int64, len(flat))
+        numbers = self._numbers(hashes)
+        missing = np.flatnonzero(numbers < 0)
         if len(missing):
-            asked = [flat[k] for k in missing.tolist()]
-            new = list(dict.fromkeys(asked))
-            if len(self.pieces) and len(self.pieces) + len(new) > _KEPT:
+            new, first = np.unique(hashes[missing], return_index=True)
+            if self.count and self.count + len(new) > _KEPT:
                 self.forget()
                 return self._places(flat)
-            self._learn(new)
-            index[missing] = np.fromiter(map(self.pieces.__getitem__, asked), np.int64, len(asked))
-        return index
+            for k in range(0, len(new), _KEPT // 2):
+                self._learn([flat[i] for i in missing[first[k : k + _KEPT // 2]].tolist()])
+            self._enter(new)
+            numbers[missing] = self._numbers(hashes[missing])
+        return numbers
 
     def _batch(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         cut = [self._part(t) for t in texts]
         index = self._places([*chain.from_iterable(p for p in cut if p)])
-        sizes = np.diff(self.bounds)[index]
-        at = np.concatenate(([0], np.cumsum(sizes)))
-        ids = self.pool[np.repeat(self.bounds[index] - at[:-1], sizes) + np.arange(at[-1])]
+        starts = self.bounds[:-1][index]
+        sizes = self.bounds[1:][index] - starts
+        at = np.concatenate(([0], np.cumsum(sizes, dtype=np.int64)))
+        ids = self.pool[np.repeat(starts - at[:-1], sizes) + np.arange(at[-1])].astype(np.uint32)
         ends = at[np.cumsum([0 if p is None else len(p) for p in cut])]
         lengths = np.diff(np.concatenate(([0], ends)))
         others = [k for k, p in enumerate(cut) if p is None]
@@ -117,10 +156,16 @@ class Encoder:
 
 
 @cache
-def encoder(name: str, spaced: bool) -> Encoder:
-    """One per worker; `name` is a path, or a file of the public tokenizers installed."""
-    import os
-
+def _kept(name: str, spaced: bool) -> Encoder:
     import public_tokenizers
 
     return Encoder(name if os.path.sep in name else public_tokenizers.path(name), spaced)
+
+
+workers.on_idle(_kept.cache_clear)
+
+
+def encoder(name: str, spaced: bool) -> Encoder:
+    """One per worker, as long as its tasks follow each other; `name` is a path, or a file of
+    the public tokenizers installed."""
+    return _kept(name, spaced)
