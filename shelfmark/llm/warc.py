@@ -11,11 +11,15 @@ responses give repeated records.  A null record id gives records with null ids.
 
 from __future__ import annotations
 
+import html as markup
+import re
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 EOL = "\r\n"
-# Entities that texts of pages use.
+# The entities that the SQL of the checks resolves; plain_text resolves all of HTML's.
 ENTITIES = {"&nbsp;": " ", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&apos;": "'", "&amp;": "&"}
 # Elements whose content is no text, then comments.
 _HIDDEN = (r"(?is)<script\b.*?</script\s*>", r"(?is)<style\b.*?</style\s*>", r"(?s)<!--.*?-->")
@@ -33,6 +37,14 @@ def urn(*parts: Column) -> Column:
     return F.concat(F.lit("<urn:uuid:"), F.concat_ws("-", *cut), F.lit(">"))
 
 
+_SPACE = re.compile(r"&(?:nbsp;?|#0*160(?![0-9]);?|#x0*a0(?![0-9a-f]);?)", re.IGNORECASE)
+
+
+def _resolved(text: pd.Series) -> pd.Series:
+    """Named and numeric entities as characters, once; a space that keeps words together is one."""
+    return text.map(lambda t: markup.unescape(_SPACE.sub(" ", t)) if t and "&" in t else t).astype(object)
+
+
 def plain_text(html: Column) -> Column:
     """A line for each block element, other tags gone, entities resolved, spaces closed up."""
     text = html
@@ -40,8 +52,7 @@ def plain_text(html: Column) -> Column:
         text = F.regexp_replace(text, pattern, " ")
     text = F.regexp_replace(F.regexp_replace(text, r"\s+", " "), _BLOCKS, "\n")
     text = F.regexp_replace(text, r"<[a-zA-Z/!?][^<>]*>", "")
-    for entity, character in ENTITIES.items():
-        text = F.replace(text, F.lit(entity), F.lit(character))
+    text = F.when(F.contains(text, F.lit("&")), F.pandas_udf(_resolved, "string")(text)).otherwise(text)
     text = F.regexp_replace(text, r"[ \t]+", " ")
     return F.regexp_replace(F.regexp_replace(text, r" ?\n[ \n]*", "\n"), r"^[ \n]+|[ \n]+$", "")
 
