@@ -6,10 +6,11 @@ range; a query looks at the keys around its own, and the windows of all ordering
 are reranked by inner product on the original vectors.
 
 The curve keeps near vectors near in a few dimensions only, so on data without structure the
-windows must hold a good part of an ordering.  `window`, the keys to either side, and
-`orderings` are parameters: work grows in proportion to the rows, and recall against brute
-force falls slowly as the rows outgrow the windows (0.95 on 50,000 structureless vectors of
-64 components with the defaults; the tests measure it).
+windows must hold a good part of all orderings.  `window`, the keys to either side, and
+`orderings` are what a search begins with.  Its recall is measured: `SAMPLE` queries, those whose ids
+hash lowest, are compared with all rows, and until two standard errors below their mean recall is
+at least `recall`, as many orderings again as there are and, up to `_WIDEST` keys, windows twice as
+wide are added.  A window that holds all rows ends it, as that search is exact.
 
 Equal vectors are indexed once, with the k + 1 smallest ids that hold them: no more can be
 among the k nearest of any query, and a vector that a third of all rows share is one key.
@@ -32,6 +33,11 @@ from shelfmark.llm.vectors import ranked, usable
 from shelfmark.session import cut
 
 
+# Queries whose recall is measured, and the widest window, which bounds what a group holds.
+SAMPLE = 200
+_WIDEST = 8192
+
+
 def hilbert(grid: np.ndarray, bits: int) -> np.ndarray:
     """The place along a Hilbert curve of grid points (one row each), as whole numbers.
 
@@ -61,14 +67,14 @@ def hilbert(grid: np.ndarray, bits: int) -> np.ndarray:
     return key.astype(np.int64)
 
 
-def _keys(orderings: int, dims: int, bits: int, seed: int):
+def _keys(orderings: range, dims: int, bits: int, seed: int):
     def keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in batches:
             if not len(frame):
                 continue
             x = np.stack(frame["vector"].to_numpy()).astype(float)
             x /= np.linalg.norm(x, axis=1)[:, None]
-            for curve in range(orderings):
+            for curve in orderings:
                 rng = np.random.default_rng((seed, curve))
                 axes = np.linalg.qr(rng.normal(size=(x.shape[1], min(dims, x.shape[1]))))[0]
                 # Spread to about one; the grid of each ordering is shifted by less than a cell.
@@ -104,8 +110,64 @@ def _nearest(window: int, chunk: int, k: int):
     return nearest
 
 
+def _against_all(ids: np.ndarray, asks: np.ndarray, k: int):
+    def against_all(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in batches:
+            if not len(frame):
+                continue
+            rep = frame["rep"].to_numpy(np.int64)
+            scores = asks @ np.stack(frame["vector"].to_numpy()).astype(float).T
+            best = np.argsort(-scores, axis=1, kind="stable")[:, :k]
+            yield pd.DataFrame({"query_id": np.repeat(ids, best.shape[1]), "vec_id": rep[best].ravel(), "score": np.take_along_axis(scores, best, 1).ravel()})
+
+    return against_all
+
+
+def _sampled(distinct: DataFrame, k: int) -> dict[int, set[int]]:
+    """The k nearest of each of at most `SAMPLE` queries, itself not among them, by comparing
+    with all rows."""
+    sample = distinct.where("is_query").orderBy(F.xxhash64("rep"), "rep").limit(SAMPLE).select("rep", "vector").collect()
+    best: dict[int, set[int]] = {r["rep"]: set() for r in sample}
+    if sample:
+        task = _against_all(np.array([r["rep"] for r in sample], np.int64), np.array([r["vector"] for r in sample], float), k + 1)
+        found = distinct.select("rep", "vector").mapInPandas(task, "query_id bigint, vec_id bigint, score double")
+        for r in ranked(found.where("query_id <> vec_id"), k).collect():
+            best[r["query_id"]].add(r["vec_id"])
+    return {q: near for q, near in best.items() if near}
+
+
+def measured(found: DataFrame, best: dict[int, set[int]]) -> tuple[float, float]:
+    """Mean recall of the sampled queries, and its standard error."""
+    got: dict[int, set[int]] = {q: set() for q in best}
+    for r in found.where(F.col("query_id").isin(list(best))).select("query_id", "vec_id").collect():
+        got[r["query_id"]].add(r["vec_id"])
+    shares = np.array([len(got[q] & near) / len(near) for q, near in best.items()])
+    return float(shares.mean()), float(shares.std() / np.sqrt(len(shares)))
+
+
+def _search(distinct: DataFrame, n: int, orderings: range, window: int, k: int, dims: int, bits: int, seed: int) -> DataFrame:
+    """query_id, vec_id, score: the k nearest within the windows of each of `orderings`."""
+    keyed = (
+        distinct.select("rep", "vector").mapInPandas(_keys(orderings, dims, bits, seed), "rep bigint, curve int, key bigint")
+        .repartitionByRange("curve", "key", "rep").sortWithinPartitions("curve", "key", "rep")
+        .select("rep", "curve", F.monotonically_increasing_id().alias("place"))
+    )
+    keyed = cut(keyed, "curves")
+    part = F.shiftright("place", 33)
+    # A row for each partition.
+    parts = keyed.groupBy(part.alias("part")).agg(F.count("*").alias("_n"))
+    parts = parts.select("part", (F.sum("_n").over(Window.orderBy("part")) - F.col("_n")).alias("before"))
+    position = F.col("before") + F.col("place").bitwiseAND(F.lit((1 << 33) - 1))
+    numbered = keyed.withColumn("part", part).join(parts, "part").select("rep", "curve", (position - (F.col("curve") - orderings.start) * F.lit(n)).alias("rank"))
+    chunk = 4 * window
+    cells = F.sequence(F.greatest(F.lit(0), F.floor((F.col("rank") - window) / chunk)), F.floor((F.col("rank") + window) / chunk))
+    spread = numbered.withColumn("chunk", F.explode(cells)).join(distinct.select("rep", "vector", "is_query"), "rep")
+    return spread.groupBy("curve", "chunk").applyInPandas(_nearest(window, chunk, k), "query_id bigint, vec_id bigint, score double")
+
+
 def nearest(
     embeddings: DataFrame, every: int = 20, k: int = 20, orderings: int = 26, window: int = 1024, dims: int = 8, bits: int = 3, seed: int = 7,
+    recall: float = 0.9,
 ) -> DataFrame:
     """query_id, rank, vec_id, score: for rows whose vec_id is divisible by `every`, the k
     nearest found among all other rows of (vec_id, embedding)."""
@@ -124,23 +186,18 @@ def nearest(
     )
     distinct = cut(distinct, "distinct")
     n = distinct.count()
-    keyed = (
-        distinct.select("rep", "vector").mapInPandas(_keys(orderings, dims, bits, seed), "rep bigint, curve int, key bigint")
-        .repartitionByRange("curve", "key", "rep").sortWithinPartitions("curve", "key", "rep")
-        .select("rep", "curve", F.monotonically_increasing_id().alias("place"))
-    )
-    keyed = cut(keyed, "curves")
-    part = F.shiftright("place", 33)
-    # A row for each partition.
-    parts = keyed.groupBy(part.alias("part")).agg(F.count("*").alias("_n"))
-    parts = parts.select("part", (F.sum("_n").over(Window.orderBy("part")) - F.col("_n")).alias("before"))
-    position = F.col("before") + F.col("place").bitwiseAND(F.lit((1 << 33) - 1))
-    numbered = keyed.withColumn("part", part).join(parts, "part").select("rep", "curve", (position - F.col("curve") * F.lit(n)).alias("rank"))
-    chunk = 4 * window
-    cells = F.sequence(F.greatest(F.lit(0), F.floor((F.col("rank") - window) / chunk)), F.floor((F.col("rank") + window) / chunk))
-    spread = numbered.withColumn("chunk", F.explode(cells)).join(distinct.select("rep", "vector", "is_query"), "rep")
-    found = spread.groupBy("curve", "chunk").applyInPandas(_nearest(window, chunk, k + 1), "query_id bigint, vec_id bigint, score double")
-    merged = ranked(found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score")), k + 1)
+    best = _sampled(distinct, k)
+    curves, merged = range(orderings), None
+    while True:
+        found = _search(distinct, n, curves, window, k + 1, dims, bits, seed)
+        found = found if merged is None else found.unionByName(merged.drop("rank"))
+        merged = cut(ranked(found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score")), k + 1), "neighbours")
+        if not best or window >= n:
+            break
+        mean, error = measured(merged, best)
+        if mean - 2 * error >= recall:
+            break
+        curves, window = range(curves.stop, 2 * curves.stop), max(window, min(2 * window, _WIDEST))
     named = merged.join(distinct.select(F.col("rep").alias("vec_id"), "ids"), "vec_id").select(F.col("query_id").alias("rep"), "score", "ids")
     queries = good.where(asks).join(distinct.select("vector", "rep"), "vector").select("vec_id", "rep")
     each = queries.withColumnRenamed("vec_id", "query_id").join(named, "rep").select("query_id", F.explode("ids").alias("vec_id"), "score")
