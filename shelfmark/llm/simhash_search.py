@@ -165,7 +165,7 @@ def allocate(costs: Sequence[Sequence[float]], distance: int) -> tuple[float, li
 def costs_of(n: int, groups: Sequence[Sequence[int]], agree: np.ndarray, distance: int, alone: Sequence[float] | None = None) -> list[list[float]]:
     """Per partition, the cost of each threshold from -1 to `distance`; `alone` are the pairs
     counted with equal bits, by which the estimates of more flips are scaled."""
-    costs = []
+    costs, n = [], max(n, 1)
     for i, group in enumerate(groups):
         near = near_shares(agree[list(group)], distance)
         pairs = alone[i] if alone is not None else near[0] * n * n

@@ -139,7 +139,8 @@ def simhash(text):
     words = [w for w in re.split(r"[\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or "")) if w]
     shingles = [" ".join(words[i : i + 4]) for i in range(max(len(words) - 3, 1))] if words else []
     hashes = [xxhash.xxh64_intdigest(s.encode(), 42) for s in shingles]
-    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes)) if hashes else 0
+    bits = np.array(hashes, np.uint64)[:, None] >> np.arange(64, dtype=np.uint64) & np.uint64(1)
+    return sum(1 << b for b in range(64) if 2 * int(bits[:, b].sum()) > len(hashes)) if hashes else 0
 
 
 def near(rows, distance=4):
