@@ -45,6 +45,27 @@ def _(t):
     return files.select("path", "size", F.coalesce("image_uri", F.lit("")).alias("image_uri"), "captioned")
 
 
+# Records written in many versions, a part of the paths in each, some of them twice and some gone again.
+@check("state_deltas", """
+WITH w AS (SELECT s.* FROM v_state s JOIN v_files f ON f.path = s.path WHERE f.doc_id % 9 <> 4)
+SELECT path, size, coalesce(image_uri, '') AS image_uri, coalesce(refs, 0) AS refs
+FROM w LEFT JOIN (SELECT image_uri AS uri, count(*) AS refs FROM w GROUP BY image_uri) r ON r.uri = w.image_uri
+""")
+def _(t):
+    folder = scratch_dir(t.spark, "state")
+    full = change.complete_state(t.state).join(t.files.select("path", "doc_id"), "path")
+    none = t.spark.createDataFrame([], state.HASHES_SCHEMA)
+    stale = full.withColumns({"size": -F.col("size"), "image_uri": F.concat(F.lit("old"), "path")})
+    for part in range(3):
+        mine = F.col("doc_id") % 3 == part
+        earlier = stale.where(F.col("doc_id") % 3 == (part + 1) % 3) if part < 2 else stale.limit(0)
+        state.append_state(t.spark, folder, full.where(mine).unionByName(earlier), none)
+    state.append_state(t.spark, folder, full.limit(0), none, gone_files=full.where("doc_id % 9 = 4").select("path"))
+    files, _ = state.read_state(t.spark, folder)
+    refs = state.state_log(t.spark, folder).read("refs")
+    return files.join(refs, "image_uri", "left").select("path", "size", F.coalesce("image_uri", F.lit("")).alias("image_uri"), F.coalesce("refs", F.lit(0)).alias("refs"))
+
+
 @check("run_summary_document", """
 SELECT count(*) AS total, count(*) FILTER (status = 200 AND code IS NULL) AS done, count(*) FILTER (NOT (status = 200 AND code IS NULL)) AS failed,
        cast(coalesce(sum(size) FILTER (status = 200 AND code IS NULL), 0) AS bigint) AS bytes FROM v_outcomes

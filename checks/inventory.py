@@ -243,6 +243,20 @@ def _(t):
     return change.apply_hash_outcomes(t.hashes, t.sql(_HASH_OUTCOMES)).select("sha256", "uri", "file_size")
 
 
+# A third of the collects find no image any more: their content is forgotten if it points there.
+@check("refused_collects", """
+WITH o AS (SELECT f.sha256, h.uri, f.doc_id % 9 = 0 AS lost FROM v_files f JOIN v_hashes h ON h.sha256 = f.sha256)
+SELECT sha256, uri FROM v_hashes WHERE sha256 NOT IN (SELECT sha256 FROM o WHERE lost)
+""")
+def _(t):
+    known = t.hashes.select("sha256", "uri")
+    collects = t.files.join(known, "sha256").select(
+        "path", "sha256", F.when(F.col("doc_id") % 9 == 0, F.col("uri")).alias("uri"), F.lit(None).cast("string").alias("old_sha256"), F.lit(None).cast("string").alias("old_uri"),
+        F.when(F.col("doc_id") % 9 == 0, "collect_refused").otherwise("ok").alias("outcome"),
+    )
+    return change.apply_hash_outcomes(known, collects).select("sha256", "uri")
+
+
 @check("upsert_state", """
 SELECT path, size + 1 AS size FROM v_files WHERE ext = 'jpg'
 UNION ALL SELECT path, size FROM v_state WHERE path NOT IN (SELECT path FROM v_files WHERE ext = 'jpg')

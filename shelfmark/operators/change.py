@@ -121,14 +121,15 @@ def apply_outcomes(state: DataFrame, outcomes: DataFrame) -> DataFrame:
     """The next "files" table.
 
     `outcomes` has a row per processed path with `outcome` (ok, touched,
-    refused, failed), the new record's columns, and `failed` as the reason.
-    A failed path keeps its record; a touched one only moves size and time.
+    refused, failed, collect_refused), the new record's columns, and `failed`
+    as the reason.  A failed path, or one whose collect was refused, keeps its
+    record; a touched one only moves size and time.
     """
     current = complete_state(state).select(
         "path", F.lit(True).alias("_old"), *[F.col(c).alias(f"_old_{c}") for c in STATE_COLUMNS]
     )
     fresh = complete_state(outcomes).join(
-        outcomes.select("path", F.col("outcome").alias("_outcome")).where(F.col("outcome") != "failed"), "path"
+        outcomes.select("path", F.col("outcome").alias("_outcome")).where(~F.col("outcome").isin("failed", "collect_refused")), "path"
     )
     merged = current.join(fresh, "path", "full_outer")
     outcome = F.col("_outcome")
@@ -154,11 +155,17 @@ def apply_hash_outcomes(hashes: DataFrame, outcomes: DataFrame) -> DataFrame:
 
     `outcomes` has `sha256`, `uri`, `album_key` and, where an image was
     replaced, `old_sha256` and `old_uri`.  The old content is forgotten only
-    if it still points at the replaced image.
+    if it still points at the replaced image.  Where `outcome` is
+    collect_refused, the image in `uri` is no longer there: content that points
+    at it is forgotten, so the next plan uploads it.
     """
     replaced = outcomes.where(F.col("old_uri").isNotNull()).select(
         F.col("old_sha256").alias("sha256"), F.col("old_uri").alias("uri")
     ).distinct()
+    if "outcome" in outcomes.columns:
+        lost = F.coalesce(F.col("outcome") == "collect_refused", F.lit(False))
+        replaced = replaced.unionByName(outcomes.where(lost).select("sha256", "uri")).distinct()
+        outcomes = outcomes.where(~lost)
     kept = hashes.join(replaced, ["sha256", "uri"], "left_anti")
     columns = [c for c in hashes.columns if c in outcomes.columns]
     # One image per content: the first path's, chosen with map-side combine.

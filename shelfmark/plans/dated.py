@@ -213,12 +213,16 @@ def plan_dated(
     images: DataFrame,
     options: DatedOptions,
     ignore_rules: DataFrame | None = None,
+    image_refs: DataFrame | None = None,
 ) -> DataFrame:
     """Exactly one action per scanned path (ACTION_COLUMNS).
 
     Rules in order: unchanged, touched, known content (linked or collected),
     unrenderable, copy of a file of this run, refused video, replacement of
     the path's own image, name already present, upload into a slot.
+
+    `state` and `hashes` may hold the records of the scanned paths and contents alone where
+    `image_refs` tells how many paths of the whole state each image has.
     """
     checked = checked_files(files, state, options, ignore_rules)
     hot_file = hot_key_sets(
@@ -243,7 +247,7 @@ def plan_dated(
         F.col("known_uri").alias("image_uri")
     ).agg(F.count("*").alias("refs"))
     refs = (
-        change.image_refs(change.complete_state(state)).unionByName(will_link)
+        (change.image_refs(change.complete_state(state)) if image_refs is None else image_refs).unionByName(will_link)
         .groupBy(F.col("image_uri").alias("prev_image_uri")).agg(F.sum("refs").alias("refs"))
     )
     no_previous = F.lit(options.no_cache)

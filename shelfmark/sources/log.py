@@ -5,9 +5,9 @@ and the keys that are gone, dealt over buckets by the hash of one key column.  I
 `_COMPLETE`, which is written last, is its manifest: which runs of which versions make up each bucket.  So
 a version that dies leaves the one before it current, and one written again replaces itself.
 
-Where a bucket's earlier runs hold no more rows than those after them, they are merged when it is written to:
-run sizes of a bucket at least halve from one to the next, so it has few runs, a row is
-rewritten some log2 (rows / rows of a batch) times, and what a version writes follows what it changes, not
+Where a bucket's earlier runs are no larger than those after them, they are merged when it is written
+to: run sizes of a bucket shrink from one to the next, so it has few runs, a row is rewritten
+some log2 (table / batch) times, and what a version writes follows what it changes, not
 what the table holds.
 
 Reading takes the newest row of each key in the buckets asked for.  With `of`, the keys of a
@@ -19,15 +19,17 @@ from __future__ import annotations
 import json
 from collections.abc import Iterable, Mapping
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 AT, GONE, BUCKET = "_at", "_gone", "in_bucket"
-BUCKETS = 64
+# Of a new log, unless the session sets `shelfmark.log.buckets`: for a billion rows take some thousands.
+BUCKETS = 16
 _MARKER = "_COMPLETE"
-# A run: (version, merged, rows).
+# A run: (version, merged, bytes).
 Run = tuple[int, bool, int]
 
 
@@ -46,19 +48,19 @@ class Table:
 
 def merged_from(runs: list[Run]) -> int:
     """The first of the last runs that are to be one: earlier ones no larger than all after them."""
-    first, rows = len(runs) - 1, runs[-1][2]
-    while first and runs[first - 1][2] <= rows:
+    first, size = len(runs) - 1, runs[-1][2]
+    while first and runs[first - 1][2] <= size:
         first -= 1
-        rows += runs[first][2]
+        size += runs[first][2]
     return first
 
 
 class Log:
     """`buckets` counts for a new log; one that exists keeps its own."""
 
-    def __init__(self, spark: SparkSession, folder: str, tables: Mapping[str, Table], buckets: int = BUCKETS, prefix: str = "v"):
+    def __init__(self, spark: SparkSession, folder: str, tables: Mapping[str, Table], buckets: int | None = None, prefix: str = "v"):
         self.spark, self.folder, self.tables, self.prefix = spark, folder.rstrip("/"), dict(tables), prefix
-        self._buckets = buckets
+        self._buckets = buckets or int(spark.conf.get("shelfmark.log.buckets", str(BUCKETS)))
 
     # Files
 
@@ -137,6 +139,11 @@ class Log:
 
         `of` holds the column the table is dealt by: only rows of its values are read and given.
         """
+        rows = self._current(name, version, of).where(f"not {GONE}")
+        return rows.select(*StructType.fromDDL(self.tables[name].schema).names, *([AT] if with_version else []))
+
+    def _current(self, name: str, version: int | None, of: DataFrame | None) -> DataFrame:
+        """The newest row of each key, also where that tells that the key is gone."""
         manifest, by = self._known(version), self.tables[name].dealt_by
         runs = self._runs(manifest, name)
         if of is not None:
@@ -148,10 +155,19 @@ class Log:
         more = self._rows(name, {b: r for b, r in runs.items() if len(r) > 1})
         if of is not None:
             one, more = one.join(of, by, "left_semi"), more.join(of, by, "left_semi")
-        if any(len(r) > 1 for r in runs.values()):
-            one = one.unionByName(self._newest(more, name))
-        columns = StructType.fromDDL(self.tables[name].schema).names
-        return one.where(f"not {GONE}").select(*columns, *([AT] if with_version else []))
+        return one.unionByName(self._newest(more, name)) if any(len(r) > 1 for r in runs.values()) else one
+
+    def newest(self, at_most: int) -> int | None:
+        """The newest version up to `at_most`."""
+        return max((v for v in self.versions() if v <= at_most), default=None)
+
+    def since(self, name: str, after: int, upto: int) -> DataFrame:
+        """What the versions after `after` up to `upto` wrote, the newest of each key, with its version."""
+        folders = [self._run_folder(name, (v, False, 0)) for v in self.versions() if after < v <= upto]
+        schema = StructType.fromDDL(f"{self.tables[name].schema}, {AT} bigint, {GONE} boolean")
+        rows = [self.spark.read.schema(schema).option("recursiveFileLookup", True).parquet(f) for f in folders if self._files().exists(self.spark._jvm.org.apache.hadoop.fs.Path(f))]
+        found = reduce(DataFrame.unionByName, rows) if rows else self.spark.createDataFrame([], schema)
+        return self._newest(found, name).where(f"not {GONE}").drop(GONE)
 
     # Writing
 
@@ -188,7 +204,7 @@ class Log:
         fresh = parts[0].unionByName(parts[1]) if len(parts) > 1 else parts[0]
         target = self._run_folder(name, (version, False, 0))
         self._write(fresh, name, buckets, target)
-        sizes = {r[BUCKET]: r["n"] for r in self.spark.read.schema(f"{AT} bigint, {BUCKET} int").parquet(target).groupBy(BUCKET).agg(F.count("*").alias("n")).collect()}
+        sizes = self._sizes(target)
         if before:
             schema_before = f"{self.tables[name].schema}, {BUCKET} int"
             keys = self.spark.read.schema(schema_before).parquet(target).select(*self.tables[name].keys)
@@ -196,8 +212,8 @@ class Log:
             prior.join(keys, list(self.tables[name].keys), "left_semi").write.mode("overwrite").parquet(self._before(name, version))
         runs = dict(runs)
         merging: dict[int, list[Run]] = {}
-        for bucket, rows in sizes.items():
-            mine = [*runs.get(bucket, []), (version, False, rows)]
+        for bucket, size in sizes.items():
+            mine = [*runs.get(bucket, []), (version, False, size)]
             first = merged_from(mine)
             if first < len(mine) - 1:
                 merging[bucket] = mine[first:]
@@ -210,13 +226,19 @@ class Log:
                 kept = kept.where(~F.col(GONE) | ~self._bucket(name, buckets).isin(bottom))
             place = (version, True, 0)
             self._write(kept, name, buckets, self._run_folder(name, place))
-            merged = self.spark.read.schema(f"{AT} bigint, {BUCKET} int").parquet(self._run_folder(name, place)).groupBy(BUCKET).agg(F.count("*").alias("n"))
-            left = {r[BUCKET]: r["n"] for r in merged.collect()}
+            left = self._sizes(self._run_folder(name, place))
             for bucket, some in merging.items():
                 whole = runs[bucket][: len(runs[bucket]) - len(some)]
                 runs[bucket] = [*whole, (version, True, left[bucket])] if bucket in left else whole
         return {b: r for b, r in runs.items() if r}
 
+    def _sizes(self, target: str) -> dict[int, int]:
+        """Bytes of each bucket that has any."""
+        files, place = self._files(), self.spark._jvm.org.apache.hadoop.fs.Path(target)
+        entries = files.listStatus(place) if files.exists(place) else []
+        named = [(e.getPath().getName(), e.getPath()) for e in entries]
+        return {int(n.partition("=")[2]): files.getContentSummary(p).getLength() for n, p in named if n.startswith(f"{BUCKET}=")}
+
     def _write(self, rows: DataFrame, name: str, buckets: int, target: str) -> None:
         dealt = rows.withColumn(BUCKET, self._bucket(name, buckets))
         # A bucket is one file; keys are alike in number, so buckets are alike in size.
@@ -232,10 +254,14 @@ class Log:
         which kept that (`before`); keys that a later version has written stay as they are."""
         table = self.tables[name]
         on = list(table.keys)
-        current = self.read(name, version, of=keys, with_version=True).where(F.col(AT) == written)
-        mine = keys.select(*on).distinct().join(current.select(*on), on, "left_semi")
+        current = self._current(name, version, keys)
+        later = current.where(F.col(AT) != written).select(*on)
+        mine = keys.select(*on).distinct().join(later, on, "left_anti")
+        there = current.where((F.col(AT) == written) & ~F.col(GONE)).select(*on)
+        if not self._files().exists(self.spark._jvm.org.apache.hadoop.fs.Path(self._before(name, written))):
+            return self.spark.createDataFrame([], table.schema), mine.join(there, on, "left_semi")
         prior = self.spark.read.schema(table.schema).parquet(self._before(name, written))
-        return prior.join(mine, on, "left_semi"), mine.join(prior.select(*on), on, "left_anti")
+        return prior.join(mine, on, "left_semi"), mine.join(there, on, "left_semi").join(prior.select(*on), on, "left_anti")
 
     def drop(self, keep: int) -> None:
         """Forget all but the newest `keep` versions, and the runs that only those before need."""

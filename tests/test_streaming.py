@@ -152,3 +152,125 @@ def test_a_failing_run_does_not_stop_the_next():
                 raise error
 
     assert jobs.run_repeatedly(Query, 2) == ["no network", None]
+
+
+FILE = "path string, sha256 string, md5 string, size bigint, mtime_ns bigint"
+
+
+class Planned:
+    """A stream of plans over parts that arrive one after another, with outcomes told between."""
+
+    def __init__(self, spark, folder, albums=(), capacity=5000):
+        self.spark, self.folder = spark, folder
+        self.albums = spark.createDataFrame(list(albums), "album_key string, name string, image_count bigint")
+        self.images = spark.createDataFrame([], "album_key string, file_name string, md5 string, uri string")
+        self.options = DatedOptions(as_of="2026-12-01", root="/lib", capacity=capacity)
+
+    def arrive(self, rows):
+        self.spark.createDataFrame([(*r, 10, m) for *r, m in rows], FILE).coalesce(1).write.mode("append").parquet(f"{self.folder}/in")
+
+    def tell(self, rows):
+        schema = "batch bigint, path string, outcome string, reason string"
+        self.spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{self.folder}/told")
+        source = self.spark.readStream.schema(schema).parquet(f"{self.folder}/told")
+        jobs.stream_outcomes(source, f"{self.folder}/outcomes", f"{self.folder}/cp-told").awaitTermination()
+
+    def plan(self, fed=True):
+        source = self.spark.readStream.schema(FILE).parquet(f"{self.folder}/in")
+        jobs.stream_plan(
+            source, f"{self.folder}/state", f"{self.folder}/actions", self.albums, self.images, self.options, f"{self.folder}/cp",
+            outcomes_folder=f"{self.folder}/outcomes" if fed else None,
+        ).awaitTermination()
+
+    def batch(self, n):
+        rows = self.spark.read.parquet(f"{self.folder}/actions/batch={n}").collect()
+        return {r["path"].removeprefix("/lib/"): (r["action"], r["album_name"], r["target_name"]) for r in rows}
+
+    def records(self):
+        files, hashes = state.read_state(self.spark, f"{self.folder}/state")
+        return {r["path"].removeprefix("/lib/"): r["sha256"] for r in files.collect()}, {r["sha256"]: r["uri"] for r in hashes.collect()}
+
+
+def md5(name):
+    return (name * 32)[:32]
+
+
+def test_first_content_is_sent_again_after_two_replacements(spark, tmp_path):
+    run = Planned(spark, tmp_path)
+    name = "IMG_20140712.jpg"
+    for k, sha in enumerate(["s1", "s2", "s3"]):
+        run.arrive([(f"/lib/a/{name}", sha, md5(str(k)), 1000 + k)])
+        run.plan(fed=False)
+    assert [run.batch(n)[f"a/{name}"][0] for n in range(3)] == ["uploaded", "replaced", "replaced"]
+    # The name is held by the third content alone; the first and second are nowhere.
+    run.arrive([(f"/lib/b/{name}", "s1", md5("0"), 1), (f"/lib/c/{name}", "s2", md5("1"), 1), (f"/lib/d/{name}", "s3", md5("2"), 1)])
+    run.plan(fed=False)
+    now = run.batch(3)
+    assert {p[0]: a for p, (a, _, _) in now.items()} == {"b": "uploaded", "c": "uploaded", "d": "linked"}
+    names = [n for p, (_, _, n) in now.items() if p[0] in "bc"]
+    assert name not in names and len(set(names)) == 2
+    files, hashes = run.records()
+    assert len(files) == 4 and len(hashes) == 3 and len(set(hashes.values())) == 3
+
+
+def test_failed_actions_give_back_slots_names_and_contents(spark, tmp_path):
+    run = Planned(spark, tmp_path, [("K", "2014-07-12", 0)], capacity=3)
+    part = lambda letter, k: (f"/lib/{letter}/IMG_20140712_{k}.jpg", f"s{letter}{k}", md5(f"{letter}{k}"), 1)
+    first = [part("a", k) for k in range(3)]
+    run.arrive([*first, ("/lib/b/IMG_20140712_8.jpg", "sa0", md5("a0"), 1)])
+    run.plan()
+    assert {p: a[:2] for p, a in run.batch(0).items()} == {
+        "a/IMG_20140712_0.jpg": ("uploaded", "2014-07-12"), "a/IMG_20140712_1.jpg": ("uploaded", "2014-07-12"),
+        "a/IMG_20140712_2.jpg": ("uploaded", "2014-07-12"), "b/IMG_20140712_8.jpg": ("linked", "2014-07-12"),
+    }
+    failed = [(0, "/lib/a/IMG_20140712_0.jpg", "failed", "no answer"), (0, "/lib/a/IMG_20140712_1.jpg", "ok", None), (0, "/lib/a/IMG_20140712_2.jpg", "refused", "too large")]
+    run.tell(failed)
+    run.arrive([(f"/lib/c/IMG_20140712_{k}.jpg", f"sc{k}", md5(f"c{k}"), 1) for k in (0, 5, 6)])
+    run.plan()
+    # Two slots and both names are free again; the third file opens the next album.
+    assert run.batch(1) == {
+        "c/IMG_20140712_0.jpg": ("uploaded", "2014-07-12", "IMG_20140712_0.jpg"), "c/IMG_20140712_5.jpg": ("uploaded", "2014-07-12", "IMG_20140712_5.jpg"),
+        "c/IMG_20140712_6.jpg": ("uploaded", "2014-07-12 (2)", "IMG_20140712_6.jpg"),
+    }
+    # Told again, it changes nothing: the album is still full.
+    run.tell(failed)
+    run.arrive([*first, ("/lib/b/IMG_20140712_8.jpg", "sa0", md5("a0"), 1)])
+    run.plan()
+    again = run.batch(2)
+    assert {p: a[0] for p, a in again.items()} == {
+        "a/IMG_20140712_0.jpg": "uploaded", "a/IMG_20140712_1.jpg": "unchanged", "a/IMG_20140712_2.jpg": "unchanged", "b/IMG_20140712_8.jpg": "linked",
+    }
+    assert again["a/IMG_20140712_0.jpg"][1] == "2014-07-12 (2)"
+    files, hashes = run.records()
+    assert len(files) == 7 and set(hashes) == {"sa0", "sa1", "sc0", "sc5", "sc6"}
+    # A replacement that fails leaves the content before it in its place.
+    run.arrive([("/lib/a/IMG_20140712_1.jpg", "new", md5("new"), 2)])
+    run.plan()
+    run.tell([(3, "/lib/a/IMG_20140712_1.jpg", "failed", None)])
+    run.arrive([("/lib/z/IMG_20140712_7.jpg", "sa1", md5("a1"), 1)])
+    run.plan()
+    assert run.batch(3)["a/IMG_20140712_1.jpg"][0] == "replaced" and run.batch(4)["z/IMG_20140712_7.jpg"][0] == "linked"
+    files, hashes = run.records()
+    assert files["a/IMG_20140712_1.jpg"] == "sa1" and "new" not in hashes and "sa1" in hashes
+
+
+def test_a_refused_collect_is_uploaded_next(spark, tmp_path):
+    run = Planned(spark, tmp_path)
+    run.arrive([("/lib/a/IMG_20140712.jpg", "s", md5("s"), 1)])
+    run.plan()
+    run.arrive([("/lib/b/IMG_20150101.jpg", "s", md5("s"), 1)])
+    run.plan()
+    assert run.batch(1)["b/IMG_20150101.jpg"][0] == "collected"
+    run.tell([(1, "/lib/b/IMG_20150101.jpg", "collect_refused", None)])
+    run.arrive([("/lib/b/IMG_20150101.jpg", "s", md5("s"), 1)])
+    run.plan()
+    assert run.batch(2)["b/IMG_20150101.jpg"][0] == "uploaded"
+
+
+def test_batches_look_up_their_own_buckets(spark, tmp_path):
+    leaders = jobs._leaders(spark, str(tmp_path / "leaders"))
+    leaders.write(0, {"": spark.range(20_000).selectExpr("concat('s', id) sha256", "concat('/p', id) leader")})
+    asked = jobs._read(leaders, "", 0, spark.createDataFrame([("s7",), ("s7",), ("new",)], "sha256 string"))
+    assert [r["leader"] for r in asked.collect()] == ["/p7"] and len(asked.inputFiles()) <= 2
+    # One bucket of 16 holds some 1250 rows.
+    assert spark.read.parquet(*asked.inputFiles()).count() < 3000
