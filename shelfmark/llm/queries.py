@@ -85,34 +85,9 @@ QUERIES: dict[str, Query] = {
     )
 }
 
-def _warc_sql() -> str:
-    """The same records by the same patterns, which both regex dialects read alike."""
-    text = "html"
-    for pattern in warc._HIDDEN:
-        text = f"regexp_replace({text}, '{pattern}', ' ', 'g')"
-    text = f"regexp_replace(regexp_replace({text}, '\\s+', ' ', 'g'), '{warc._BLOCKS}', chr(10), 'g')"
-    text = f"regexp_replace({text}, '<[a-zA-Z/!?][^<>]*>', '', 'g')"
-    for entity, character in warc.ENTITIES.items():
-        quoted = character.replace("'", "''")
-        text = f"replace({text}, '{entity}', '{quoted}')"
-    text = f"regexp_replace(regexp_replace({text}, '[ \\t]+', ' ', 'g'), ' ?\\n[ \\n]*', chr(10), 'g')"
-    text = f"regexp_replace({text}, '^[ \\n]+|[ \\n]+$', '', 'g')"
-    urn = lambda h: "concat('<urn:uuid:', " + ", '-', ".join(f"substr({h}, {i}, {n})" for i, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))) + ", '>')"
-    end = "chr(13), chr(10)"
-    return f"""
-WITH p AS (SELECT page_id, url, coalesce(html, '') AS html, md5(concat('response|', cast(page_id AS varchar), '|', coalesce(url, ''))) AS h FROM pages),
-r AS (SELECT page_id, url, html, {urn('h')} AS refers_to, concat('sha256:', sha256(html)) AS payload_digest FROM p),
-b AS (SELECT *, 'metadata' AS record_type, 'application/warc-fields' AS content_type,
-  concat('http-status: 200', {end}, 'http-content-type: text/html', {end}, 'source-digest: ', payload_digest, {end}, 'source-length: ', cast(strlen(html) AS varchar), {end},
-         'language: ', regexp_extract(html, '(?i)<html[^>]*\\slang="([^"]*)"', 1), {end}, 'title: ', trim(regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title', 1), '\\s+', ' ', 'g')), {end}) AS block FROM r
-  UNION ALL SELECT *, 'conversion', 'text/plain', {text} FROM r)
-SELECT page_id, record_type, {urn("md5(concat(record_type, '|', refers_to))")} AS record_id, refers_to, url AS target_uri, '{WARC_DATE}' AS warc_date, content_type, payload_digest,
-       concat('sha256:', sha256(block)) AS block_digest, cast(strlen(block) AS bigint) AS content_length, block FROM b
-"""
-
 
+# op2 resolves all of HTML's entities, which SQL has no table of; tests compare it with brute force.
 ORACLES: dict[str, str] = {
-    "op2_warc_derivatives": _warc_sql(),
     "op3_exact_top_k": """
 WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * cast(x AS double))) AS e FROM embeddings
            WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)

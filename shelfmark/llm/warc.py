@@ -2,7 +2,8 @@
 
 A response becomes a metadata record (what its header and page say) and a conversion
 record (its text), each linked to it by WARC-Refers-To and carrying the source's target
-URI, date and payload digest.  Narrow: one scan, no shuffle.
+URI, date and payload digest.  The metadata record holds every header line of the source,
+folded ones on one line.  Narrow: one scan, no shuffle.
 
 A null body is an empty one, a null header has no status and no type.  Responses of other
 types than HTML or text keep a metadata record and have no conversion record.  Repeated
@@ -19,8 +20,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 EOL = "\r\n"
-# The entities that the SQL of the checks resolves; plain_text resolves all of HTML's.
-ENTITIES = {"&nbsp;": " ", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&apos;": "'", "&amp;": "&"}
 # Elements whose content is no text, then comments.
 _HIDDEN = (r"(?is)<script\b.*?</script\s*>", r"(?is)<style\b.*?</style\s*>", r"(?s)<!--.*?-->")
 _BLOCKS = r"(?i)</?(address|article|aside|blockquote|body|br|dd|div|dl|dt|footer|form|h[1-6]|head|header|hr|html|li|main|nav|ol|p|pre|section|table|td|th|title|tr|ul)(\s[^<>]*)?/?>"
@@ -52,7 +51,8 @@ def plain_text(html: Column) -> Column:
         text = F.regexp_replace(text, pattern, " ")
     text = F.regexp_replace(F.regexp_replace(text, r"\s+", " "), _BLOCKS, "\n")
     text = F.regexp_replace(text, r"<[a-zA-Z/!?][^<>]*>", "")
-    text = F.when(F.contains(text, F.lit("&")), F.pandas_udf(_resolved, "string")(text)).otherwise(text)
+    # All texts go, so that the expressions before stand in the plan once.
+    text = F.pandas_udf(_resolved, "string")(text)
     text = F.regexp_replace(text, r"[ \t]+", " ")
     return F.regexp_replace(F.regexp_replace(text, r" ?\n[ \n]*", "\n"), r"^[ \n]+|[ \n]+$", "")
 
@@ -82,6 +82,8 @@ def derive(responses: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     source = source.withColumn("_kind", kind).withColumn("_digest", digest(F.col("_payload"))).withColumn(
         "_status", F.regexp_extract("_header", r"^HTTP/[0-9.]+ ([0-9]{3})", 1)
     )
+    lines = F.split(F.regexp_replace("_header", r"\r?\n[ \t]+", " "), r"\r?\n")
+    headers = F.transform(F.filter(lines, lambda h: (h != "") & ~h.startswith("HTTP/")), lambda h: F.concat(F.lit("http-header: "), h, F.lit(EOL)))
     title = F.trim(F.regexp_replace(F.regexp_extract("_payload", r"(?is)<title[^>]*>(.*?)</title", 1), r"\s+", " "))
     lang = F.regexp_extract("_payload", r'(?i)<html[^>]*\slang="([^"]*)"', 1)
     fields = F.concat(*[
@@ -90,7 +92,7 @@ def derive(responses: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
             ("http-status", F.col("_status")), ("http-content-type", F.col("_kind")), ("source-digest", F.col("_digest")),
             ("source-length", F.octet_length("_payload").cast("string")), ("language", lang), ("title", title),
         )
-    ])
+    ], F.array_join(headers, ""))
     text = F.when(F.col("_kind") == "text/html", plain_text(F.col("_payload"))).otherwise(F.col("_payload"))
     made = F.array(
         F.struct(F.lit("metadata").alias("record_type"), F.lit("application/warc-fields").alias("content_type"), fields.alias("block")),
