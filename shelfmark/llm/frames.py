@@ -6,7 +6,8 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 
 def grouped(df: DataFrame, keys: Sequence[str], order: Sequence[str] = ()) -> DataFrame:
@@ -14,6 +15,14 @@ def grouped(df: DataFrame, keys: Sequence[str], order: Sequence[str] = ()) -> Da
     return df.repartition(*keys).sortWithinPartitions(*keys, *order)
 
 
+def aside(docs: DataFrame, used: Sequence[str]) -> tuple[DataFrame, dict[str, Column]]:
+    """`docs` with all columns but those `used` in one, `_rest`, so that none has the name of another
+    table's; and each column's expression in what is joined to it."""
+    rest = [c for c in docs.columns if c not in used]
+    held = F.struct(F.lit(True).alias("_"), *[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(rest)])
+    return docs.select(*used, held.alias("_rest")), {c: F.col(c) for c in used} | {c: F.col(f"_rest.c{k}") for k, c in enumerate(rest)}
+
+
 def whole_groups(batches: Iterator[pd.DataFrame], keys: Sequence[str]) -> Iterator[tuple[pd.DataFrame, np.ndarray]]:
     """Frames that hold whole groups, and the first row of each group.
 

@@ -19,6 +19,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from shelfmark.llm.frames import aside
 from shelfmark.session import cut
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -195,12 +196,13 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     plan = plan.where("size = 0 or _parts is not null").select("_row", "_nth", "size", "_parts", "pass")
     row = F.xxhash64("doc_id", "source", "text")
     alike = Window.partitionBy("_row").orderBy("doc_id")
-    texts = docs.withColumn("_row", row).withColumn("_nth", F.row_number().over(alike))
+    held, column = aside(docs, ["doc_id", "source", "text"])
+    texts = held.withColumn("_row", row).withColumn("_nth", F.row_number().over(alike))
     whole = F.col("_parts").isNull() | (F.aggregate("_parts", F.lit(0).cast("bigint"), lambda n, p: n + p["words"]) == F.col("size"))
     words = F.regexp_extract_all("text", F.lit(WORD), F.lit(0))
     cutout = F.array_join(F.flatten(F.transform("_parts", lambda p: F.slice(F.col("_words"), (p["from"] + 1).cast("int"), p["words"].cast("int")))), " ")
     mixed = texts.join(plan, ["_row", "_nth"]).withColumn("_words", F.when(~whole, words)).withColumn("_text", F.when(whole, F.col("text")).otherwise(cutout))
     return mixed.select(*[
-        F.col("_text").alias(c) if c == "text" else F.length("_text").cast("bigint").alias(c) if c == "n_chars" else F.col(c)
+        F.col("_text").alias(c) if c == "text" else F.length("_text").cast("bigint").alias(c) if c == "n_chars" else column[c].alias(c)
         for c in docs.columns
     ])

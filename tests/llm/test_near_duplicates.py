@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from shelfmark.llm import components, lsh_forest, queries, substring_dedup
+from shelfmark.llm import components, lsh_forest, mixing, queries, substring_dedup
 
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint"
 FOLDER = "/root/testdata/sf0.01"
@@ -219,3 +219,20 @@ def test_pipeline(spark):
     assert {r["doc_id"] for r in kept["n-gram Jaccard join"]} == {c for c, _ in want.values()}
     rows = queries.pipeline(spark, folder).collect()
     assert {r["doc_id"] for r in rows} == {r["doc_id"] for r in kept["mixing sources"]}
+
+
+def test_stages_carry_columns_of_any_name(spark):
+    """Columns by which the stages call their own come out as they went in."""
+    rng = random.Random(8)
+    passage = " ".join("p%d" % i for i in range(80))
+    rows = [(i, " ".join("w%d" % rng.randrange(10**6) for _ in range(60)) + " " + passage) for i in range(6)]
+    docs = spark.createDataFrame([(i, t, "en", "src0", len(t)) for i, t in rows], SCHEMA)
+    names = ["size", "_row", "_nth", "_parts", "_id", "_passages", "_text", "_words", "s", "start", "a b", "pass", "_rest"]
+    for k, name in enumerate(names):
+        docs = docs.withColumn(name, F.col("doc_id") * 100 + k)
+    for stage in (substring_dedup.without_repeats, mixing.mixed_documents):
+        out = stage(docs)
+        assert out.columns == docs.columns
+        kept = out.collect()
+        assert {r["doc_id"] for r in kept} == set(range(6))
+        assert all(r[name] == r["doc_id"] * 100 + k for r in kept for k, name in enumerate(names))
