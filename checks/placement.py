@@ -210,29 +210,29 @@ def _(t):
     return remote.match_remote_content(t.files, t.images.select(F.col("archived_md5").alias("md5"))).select("path")
 
 
+# A file's target is the album of its day, or for every other two of the day after, so that some names and contents are there and some not.
 @check("plan_collects", """
+WITH f AS (SELECT path, file_name, sha256, concat('A', strftime(cast(day_text AS date) + cast(doc_id % 4 > 1 AS int), '%Y%m%d')) AS target FROM v_files)
 SELECT f.path, CASE WHEN n.file_name IS NULL AND a.album_key IS NULL AND h.uri IS NOT NULL THEN h.uri ELSE '' END AS collect_uri
-FROM v_files f LEFT JOIN (SELECT DISTINCT CASE WHEN format = 'JPG' OR format = 'MOV' THEN file_name ELSE concat('~', file_name) END AS file_name FROM v_images) n ON n.file_name = f.file_name
-LEFT JOIN v_hashes h ON h.sha256 = f.sha256 LEFT JOIN v_albums a ON a.album_key = h.album_key
+FROM f LEFT JOIN (SELECT DISTINCT album_key, file_name FROM v_images) n ON n.file_name = f.file_name AND n.album_key = f.target
+LEFT JOIN v_hashes h ON h.sha256 = f.sha256 LEFT JOIN v_albums a ON a.album_key = h.album_key AND a.album_key = f.target
 """)
 def _(t):
-    # Images of other formats are listed under names that no file has.
-    renamed = F.when(F.col("format").isin("JPG", "MOV"), F.col("file_name")).otherwise(F.concat(F.lit("~"), "file_name"))
-    names = t.images.withColumn("file_name", renamed)
-    planned = remote.plan_collects(t.files, t.albums, names, t.hashes)
+    target = F.concat(F.lit("A"), F.date_format(F.date_add(F.col("day_text").cast("date"), (F.col("doc_id") % 4 > 1).cast("int")), "yyyyMMdd"))
+    files = t.files.select("path", "file_name", "sha256", target.alias("target"))
+    albums = t.albums.select("album_key", F.col("album_key").alias("target"))
+    names = t.images.select(F.col("album_key").alias("target"), "file_name")
+    planned = remote.plan_collects(files, albums, names, t.hashes, within=["target"])
     return planned.select("path", F.coalesce("collect_uri", F.lit("")).alias("collect_uri"))
 
 
 @check("images_with_album_name", """
 SELECT i.image_key, coalesce(a.name, i.album_key) AS album_name, CASE WHEN i.upload_seq % 5 = 0 THEN i.image_key ELSE i.file_name END AS shown_name
-FROM v_images i LEFT JOIN v_albums a ON a.album_key = i.album_key AND a.image_count > 1
+FROM v_images i LEFT JOIN v_albums a ON a.album_key = i.album_key
 """)
 def _(t):
     images = t.images.withColumn("file_name", F.when(F.col("upload_seq") % 5 == 0, "").otherwise(F.col("file_name")))
-    # Albums of one image have keys that no image names.
-    key = F.when(F.col("image_count") > 1, F.col("album_key")).otherwise(F.concat(F.lit("~"), "album_key"))
-    shown = remote.images_with_album_name(images, t.albums.withColumn("album_key", key))
-    return shown.select("image_key", "album_name", "shown_name")
+    return remote.images_with_album_name(images, t.albums).select("image_key", "album_name", "shown_name")
 
 
 @check("search_hit_albums", "SELECT image_key, CASE WHEN upload_seq % 4 = 0 THEN 'none' ELSE album_key END AS album_key FROM v_images")

@@ -209,3 +209,19 @@ def test_empty_stores_have_statistics(spark):
     empty = spark.createDataFrame([], "file_size bigint, uploaded_at timestamp")
     assert tuple(reports.state_stats(empty).first()) == (0, 0, None, None)
     assert rows(reports.busiest_days(spark.createDataFrame([], "day date")), "day") == []
+
+
+def test_images_of_albums_that_are_not_listed_show_keys(spark):
+    images = spark.createDataFrame([("i1", "A", "a.jpg"), ("i2", "A", ""), ("i3", "Z", None), ("i4", None, "d.jpg")], "image_key string, album_key string, file_name string")
+    albums = spark.createDataFrame([("A", "Album"), ("B", "Other")], "album_key string, name string")
+    rows = {r["image_key"]: (r["album_name"], r["shown_name"]) for r in remote.images_with_album_name(images, albums).collect()}
+    assert rows == {"i1": ("Album", "a.jpg"), "i2": ("Album", "i2"), "i3": ("Z", "i3"), "i4": (None, "d.jpg")}
+
+
+def test_collects_leave_out_names_and_albums_of_the_target(spark):
+    files = spark.createDataFrame([("p1", "a", "s1"), ("p2", "b", "s1"), ("p3", "b", "s2"), ("p4", "b", "unknown")], "path string, file_name string, sha256 string")
+    albums = spark.createDataFrame([("T",)], "album_key string")
+    names = spark.createDataFrame([("a",), ("a",), ("other",)], "file_name string")
+    hashes = spark.createDataFrame([("s1", "/u1", "E"), ("s2", "/u2", "T"), ("s3", "/u3", "E")], "sha256 string, uri string, album_key string")
+    planned = {r["path"]: (r["collect_uri"], r["cached"]) for r in remote.plan_collects(files, albums, names, hashes).collect()}
+    assert planned == {"p1": (None, True), "p2": ("/u1", True), "p3": (None, True), "p4": (None, None)}
