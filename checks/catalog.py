@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 
 from checks.registry import check
 from shelfmark.operators import reports, search, tree
+from shelfmark.session import scratch_dir
 from shelfmark.sources.listing import listing_items
+from shelfmark.sources.text_index import TextIndex
 
 _CLOSURE = """
 closure AS (
@@ -246,16 +248,27 @@ def _(t):
 _TAKEN = "cast(taken AS timestamp)"
 
 
-@check("search_by_text", """
+_BY_TEXT = """
 SELECT image_key, title FROM v_images
 WHERE (contains(lower(title), 'photo') OR contains(lower(caption), 'photo') OR contains(lower(keywords), 'photo') OR contains(lower(file_name), 'photo'))
   AND (contains(lower(title), 'd0') OR contains(lower(caption), 'd0') OR contains(lower(keywords), 'd0') OR contains(lower(file_name), 'd0'))
 ORDER BY taken DESC, image_key LIMIT 100
-""")
+"""
+
+
+@check("search_by_text", _BY_TEXT)
 def _(t):
     return search.search_images(_images(t), text="PHOTO d0").select("image_key", "title")
 
 
+@check("search_by_text_index", _BY_TEXT)
+def _(t):
+    images = _images(t)
+    index = TextIndex(t.spark, scratch_dir(t.spark, "text-index"))
+    index.write(0, images)
+    return index.search(images, "PHOTO d0").select("image_key", "title")
+
+
 @check("search_by_keyword", """
 SELECT image_key FROM v_images WHERE upload_seq % 4 < 2 AND starts_with(keywords, 'en;') ORDER BY taken DESC, image_key LIMIT 20
 """)

@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 
 from checks.registry import check
 from shelfmark.operators import change, copies, reports, scanning, siblings
+from shelfmark.session import scratch_dir
 from shelfmark.skew import ranked
+from shelfmark.sources.inventory import read_manifest, write_inventory
 
 _SUPPORTED = "ext <> 'xmp'"
 _RAW = "('raw','dng','cr2','cr3','nef','arw','orf','raf','rw2','pef','srw','erf','mrw','3fr','fff','iiq')"
@@ -45,6 +47,14 @@ FROM v_files
 """
 
 
+@check("read_manifest", f"SELECT doc_id, path, CASE WHEN doc_id % 3 = 0 THEN 0 ELSE doc_id END AS size FROM ({_HIDDEN}) h")
+def _(t):
+    size = F.when(F.col("doc_id") % 3 == 0, F.lit(0)).otherwise(F.col("doc_id")).cast("bigint")
+    folder = scratch_dir(t.spark, "inventory")
+    write_inventory(t.sql(_HIDDEN).select("doc_id", "path", size.alias("size")), folder)
+    return read_manifest(t.spark, folder, checksums=True)
+
+
 @check("filter_hidden_and_system", f"SELECT doc_id, path FROM ({_HIDDEN}) h WHERE doc_id % 9 > 4")
 def _(t):
     return scanning.filter_hidden_and_system(t.sql(_HIDDEN), "/lib").select("doc_id", "path")

@@ -150,27 +150,42 @@ def _ancestors(directory: Column) -> Column:
     )
 
 
+def rule_nodes(directories: DataFrame, rules: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(_dir, node) and (node, chain): of each directory the nearest one at or above it that has rules,
+    and of each of these its rules and those of all such above it, from the top down.
+
+    A directory carries no rules, only where they are: as many rows are written as there are
+    directories and directories with rules.
+    """
+    rule = F.struct("seq", "regex", "negate", "only_directories")
+    by_dir = cut(rules.groupBy("dir").agg(F.sort_array(F.collect_list(rule)).alias("rules")), "rules")
+    above = directories.select("_dir", F.posexplode(_ancestors(F.col("_dir"))).alias("depth", "dir"))
+    ruled = salted_join(above, by_dir.select("dir"), ["dir"], "left_semi", spread=["_dir"])
+    pointers = cut(ruled.groupBy("_dir").agg(F.max_by("dir", "depth").alias("node")), "rule-nodes")
+    lines = by_dir.select(F.col("dir").alias("node"), F.posexplode(_ancestors(F.col("dir"))).alias("depth", "dir"))
+    chains = (
+        salted_join(lines, by_dir, ["dir"], "inner", spread=["node"])
+        .groupBy("node").agg(F.sort_array(F.collect_list(F.struct("depth", "dir", "rules"))).alias("chain"))
+    )
+    return pointers, cut(chains, "ignore-rules")
+
+
 def filter_ignore_files(files: DataFrame, rules: DataFrame) -> DataFrame:
     """Apply per-directory rules (see `compile_ignore_rules`) below their directory.
 
     The deepest directory with a matching rule decides, by its last match.
     Nothing below an ignored directory comes back, as it is never entered.
     The rules reach a file by equi joins on directories: only directories are
-    expanded to their ancestors, never files.
+    expanded to their ancestors, never files, and rules are kept once for each
+    directory that has any.
     """
-    rule = F.struct("seq", "regex", "negate", "only_directories")
-    by_dir = rules.groupBy("dir").agg(F.sort_array(F.collect_list(rule)).alias("rules"))
-
     located = files.withColumn("_dir", dir_name(F.col("path")))
     holding = cut(located.select("_dir").distinct(), "directories")
     directories = cut(holding.select(F.explode(_ancestors(F.col("_dir"))).alias("_dir")).distinct(), "directories")
-    above = directories.select("_dir", F.posexplode(_ancestors(F.col("_dir"))).alias("depth", "dir"))
-    chains = cut(
-        salted_join(above, by_dir, ["dir"], "inner", spread=["_dir"])
-        .groupBy("_dir")
-        .agg(F.sort_array(F.collect_list(F.struct("depth", "dir", "rules"))).alias("chain")),
-        "ignore-rules",
-    )
+    above = directories.select("_dir", F.explode(_ancestors(F.col("_dir"))).alias("dir"))
+    pointers, by_node = rule_nodes(directories, rules)
+    # All directories may have their rules from one at the top.
+    chains = salted_join(pointers, by_node, ["node"], "inner", spread=["_dir"]).select("_dir", "chain")
 
     def ignored(path: Column, is_directory: bool) -> Column:
         def deciding(level: Column) -> Column:

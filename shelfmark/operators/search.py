@@ -13,6 +13,10 @@ from shelfmark.functions.keywords import split_keywords
 from shelfmark.session import cut
 
 
+# Texts of an image that are searched.
+TEXT_FIELDS = ("title", "caption", "keywords", "file_name")
+
+
 def search_images(
     images: DataFrame,
     text: str | None = None,
@@ -44,7 +48,7 @@ def search_images(
         tagged = F.transform(split_keywords(F.col("keywords")), lambda k: F.lower(k))
         for keyword in keywords:
             matches = matches & F.array_contains(tagged, keyword.strip().lower())
-    fields = [F.lower(F.col(c)) for c in ("title", "caption", "keywords", "file_name")]
+    fields = [F.lower(F.col(c)) for c in TEXT_FIELDS]
     for word in (text or "").lower().split():
         anywhere = F.lit(False)
         for field in fields:

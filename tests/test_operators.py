@@ -73,6 +73,26 @@ def test_ignore_files(spark):
     assert [p for p, in rows(kept, "path")] == ["/r/a/keep.jpg", "/r/a/sub/n.png", "/r/b/skip/z.jpg", "/r/c/d/only.gif", "/r/e/out.jpg"]
 
 
+def test_rules_are_kept_once(spark):
+    """A deep tree below one directory with rules, and rules at two depths of another."""
+    deep = ["/r/" + "/".join(f"d{k}" for k in range(n)) for n in range(1, 60)]
+    files = paths(spark, *[f"{d}/{n}" for d in deep for n in ("a.jpg", "b.png")], "/q/x.jpg", "/q/s/t/x.jpg")
+    rules = scanning.compile_ignore_rules(spark.createDataFrame(
+        [("/r", 1, "*.png"), ("/r/d0/d1", 1, "!b.png"), ("/r/d0/d1/d2", 1, "b.*"), ("/q/s", 1, "x.jpg"), ("/none", 1, "*")],
+        "dir string, seq int, line string",
+    ))
+    kept = {p for p, in rows(scanning.filter_ignore_files(files, rules), "path")}
+    assert kept == {f"{d}/a.jpg" for d in deep} | {"/r/d0/d1/b.png", "/q/x.jpg"}
+    directories = spark.createDataFrame([(d,) for d in [*deep, "/q/s/t", "/q"]], "_dir string")
+    pointers, chains = scanning.rule_nodes(directories, rules)
+    assert dict(rows(pointers, "_dir", "node")) == {
+        d: "/r" if d == "/r/d0" else "/r/d0/d1" if d == "/r/d0/d1" else "/r/d0/d1/d2" for d in deep
+    } | {"/q/s/t": "/q/s"}
+    assert {r["node"]: [c["dir"] for c in r["chain"]] for r in chains.collect()} == {
+        "/r": ["/r"], "/r/d0/d1": ["/r", "/r/d0/d1"], "/r/d0/d1/d2": ["/r", "/r/d0/d1", "/r/d0/d1/d2"], "/q/s": ["/q/s"], "/none": ["/none"]
+    }
+
+
 def state_of(spark, *records):
     return change.complete_state(spark.createDataFrame(
         records, "path string, size bigint, mtime_ns bigint, sha256 string, image_uri string, failed string, captioned boolean"

@@ -88,3 +88,40 @@ def test_run_summary_document(spark, tmp_path):
     state.write_run_summary(summary, str(tmp_path / "run"))
     text = "".join(p.read_text() for p in (tmp_path / "run").glob("*.json"))
     assert text.strip() == '{"folder":"/lib","uploaded":3,"failed":null}'
+
+
+def test_inventories_with_a_manifest(spark, tmp_path):
+    rows = [("/a/_x.jpg", 0), ("/a/.y.jpg", 1), ("/a/z.jpg", None), ("/a/z.jpg", None), (None, 3)]
+    listing = spark.createDataFrame(rows, "path string, size bigint").repartition(3)
+    inventory.write_inventory(listing, f"{tmp_path}/i")
+    key = lambda r: (r[0] or "", r[1] or 0)
+    read = lambda **o: sorted([tuple(r) for r in inventory.read_manifest(spark, f"{tmp_path}/i", **o).collect()], key=key)
+    assert read() == read(checksums=True) == sorted(rows, key=key)
+    # What is not listed is not read.
+    listing.limit(1).write.mode("append").parquet(f"{tmp_path}/i/parts")
+    assert read(checksums=True) == sorted(rows, key=key)
+    listed = {r["part"]: r for r in spark.read.json(f"{tmp_path}/i/manifest").collect()}
+    part = tmp_path / "i/parts" / sorted(listed)[0]
+    whole = part.read_bytes()
+    part.write_bytes(whole[:-1])
+    with pytest.raises(inventory.BrokenInventory, match=part.name):
+        read()
+    part.unlink()
+    with pytest.raises(inventory.BrokenInventory):
+        read()
+    with pytest.raises(inventory.BrokenInventory):
+        inventory.read_manifest(spark, f"{tmp_path}/nowhere")
+    inventory.write_inventory(listing.limit(0), f"{tmp_path}/none")
+    assert inventory.read_manifest(spark, f"{tmp_path}/none", checksums=True).schema == listing.schema
+
+
+def test_parts_of_other_rows(spark, tmp_path):
+    """As many bytes, other rows: only the sums tell."""
+    for name, size in (("a", 1), ("b", 2)):
+        inventory.write_inventory(spark.createDataFrame([("/x", size)], "path string, size bigint").coalesce(1), f"{tmp_path}/{name}")
+    one, other = (next((tmp_path / n / "parts").glob("part-*.parquet")) for n in "ab")
+    assert one.stat().st_size == other.stat().st_size
+    one.write_bytes(other.read_bytes())
+    (one.parent / f".{one.name}.crc").write_bytes((other.parent / f".{other.name}.crc").read_bytes())
+    with pytest.raises(inventory.BrokenInventory):
+        inventory.read_manifest(spark, f"{tmp_path}/a", checksums=True)
