@@ -60,6 +60,11 @@ def listed(files: DataFrame, options: DatedOptions, ignore_rules: DataFrame | No
     return scanning.merge_sources([not_excluded(supported, options, ignore_rules)])
 
 
+def listed_of(visible: DataFrame) -> DataFrame:
+    """`listed`, of files that nothing excludes."""
+    return scanning.merge_sources([scanning.filter_supported(visible)])
+
+
 def with_metadata(files: DataFrame) -> DataFrame:
     return files.select(
         "path", "size", "mtime_ns",
@@ -79,9 +84,14 @@ def scan(files: DataFrame, options: DatedOptions, hot: DataFrame | None | object
 
 
 def scan_summary(files: DataFrame, options: DatedOptions, ignore_rules: DataFrame | None = None) -> DataFrame:
-    """One row: files listed but not taken, by why, and live videos."""
-    unsupported = scanning.count_unsupported(not_excluded(files, options, ignore_rules)).select("unsupported")
-    selected = siblings.select_siblings(listed(files, options, ignore_rules), options.raw_handling)
+    """One row: files listed but not taken, by why, and live videos.
+
+    The inventory is read once, for its paths: counts are taken from these as written, not
+    by accumulators, which a task done again after a lost executor would add to twice.
+    """
+    visible = cut(not_excluded(files.select("path"), options, ignore_rules), "visible")
+    unsupported = scanning.count_unsupported(visible).select("unsupported")
+    selected = siblings.select_siblings(listed_of(visible), options.raw_handling)
     outcome = F.col("raw_outcome")
     live = outcome.isin("kept", "rendered") & F.col("live_photo_of").isNotNull()
     skips = F.lit(options.live_videos == "skip")
