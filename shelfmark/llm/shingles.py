@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -25,20 +26,32 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _hashes(texts: list[str | None], short: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(shingle hashes of all texts, first of each text and the end, words of each text).
-
-    A text of fewer words than a shingle is one shingle if `short`, else none.
-    """
+def word_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes of the words of all texts, words of each text)."""
     cut = [words_of(t) for t in texts]
     counts = np.array([len(w) for w in cut], np.int64)
-    codes, distinct = pd.factorize(np.array([*(w for words in cut for w in words), None], dtype=object)[:-1])
+    codes, distinct = pd.factorize(np.array([*chain.from_iterable(cut), None], dtype=object)[:-1])
     own = pd.util.hash_array(np.asarray(distinct, dtype=object), categorize=False) if len(distinct) else np.empty(0, np.uint64)
-    word = own[codes] if len(codes) else np.empty(0, np.uint64)
+    return own[codes] if len(codes) else np.empty(0, np.uint64), counts
+
+
+def rolled(word: np.ndarray) -> np.ndarray:
+    """Hashes of the shingles that start at each word; those of the last words run over the end."""
     padded = np.concatenate((word, np.zeros(SHINGLE, np.uint64)))
     sums = np.zeros(len(word), np.uint64)
-    for k in range(SHINGLE):
-        sums = mixed(sums * _PRIME + padded[k : k + len(word)] + np.uint64(k))
+    with np.errstate(over="ignore"):
+        for k in range(SHINGLE):
+            sums = mixed(sums * _PRIME + padded[k : k + len(word)] + np.uint64(k))
+    return sums
+
+
+def _hashes(texts: list[str | None], short: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(shingle hashes of all texts, first of each text and the end, words of each text).
+
+    A text of fewer words than a shingle is one shingle if `short`, else none.
+    """
+    word, counts = word_hashes(texts)
+    sums = rolled(word)
     ends = np.cumsum(counts)
     left = np.repeat(ends, counts) - np.arange(len(word))
     keep = left >= SHINGLE
@@ -54,12 +67,18 @@ def _hashes(texts: list[str | None], short: bool) -> tuple[np.ndarray, np.ndarra
     return sums[keep], np.concatenate(([0], np.cumsum(numbers))), counts
 
 
-def hashed(texts: list[str | None], short: bool = True) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
-    """(from, to, hashes, bounds, words) of runs of texts."""
+def runs(texts: list[str | None]) -> Iterator[tuple[int, int]]:
+    """(from, to) of runs of texts that are hashed at once."""
     begin, size = 0, 0
     for k, text in enumerate(texts):
         size += len(text or "")
         if size >= _BATCH or k == len(texts) - 1:
-            with np.errstate(over="ignore"):
-                yield begin, k + 1, *_hashes(texts[begin : k + 1], short)
+            yield begin, k + 1
             begin, size = k + 1, 0
+
+
+def hashed(texts: list[str | None], short: bool = True) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(from, to, hashes, bounds, words) of runs of texts."""
+    for begin, end in runs(texts):
+        with np.errstate(over="ignore"):
+            yield begin, end, *_hashes(texts[begin:end], short)
