@@ -1,5 +1,7 @@
 """Vector searches against brute force."""
 
+import math
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -55,6 +57,33 @@ def test_top_k_over_shards_and_blocks(spark, shard_rows, block_queries):
     assert {tuple(r) for r in got.collect()} == expected
 
 
+def exact(v, w):
+    return sum(math.floor(1024 * a) * math.floor(1024 * b) for a, b in zip(v, w, strict=True))
+
+
+@pytest.mark.parametrize("kind", ["beyond 2^53", "products beyond 2^63"])
+def test_top_k_of_large_components(spark, kind):
+    """Scores that differ by few units: no doubles, and sums of products that are no longs."""
+    rng = np.random.default_rng(9)
+    if kind == "beyond 2^53":
+        base = [float(x) for x in rng.normal(size=3) * 1e5]
+        rows = [(i, base + [int(d) / 1024 for d in rng.integers(-3, 4, 3)]) for i in range(90)]
+    else:
+        rows = [(i, [3e9, -3e9] + [int(d) / 1024 for d in rng.integers(-3, 4, 3)]) for i in range(1, 90) if i % 20]
+        rows.append((0, [3e9, 3e9, 1.0, 2.0, 3.0]))
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    vectors = df.select("vec_id", ball_tree.quantized(F.col("embedding")).alias("vector"))
+    for shard_rows in (40, 10_000):
+        got = ball_tree.top_k(vectors.where("vec_id % 20 = 0"), vectors, 10, shard_rows)
+        assert {tuple(r) for r in got.collect()} == best(rows, 20, 10, exact, lambda v: True)
+
+
+def test_score_beyond_a_long_is_an_error(spark):
+    df = table(spark, [(0, [1e12, 1.0]), (1, [1e12, 1.0])])
+    with pytest.raises(Exception, match="does not fit a long"):
+        ball_tree.top_k_of_table(df).collect()
+
+
 def test_fewer_candidates_than_k_and_empty(spark):
     few = table(spark, [(0, [1.0, 2.0]), (5, [1.0, 2.0]), (3, [0.5, 0.5])])
     assert ball_tree.top_k_of_table(few).count() == 2
