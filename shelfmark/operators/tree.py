@@ -15,6 +15,37 @@ from shelfmark.session import cut
 from shelfmark.skew import hot_keys, salted_join
 
 
+# Rounds in which ways are doubled whole: such trees are at most 32 deep.
+_SHALLOW = 5
+# In deeper trees about one folder in so many holds its whole way.
+_APART = 128
+_WAY = ("parts", "chain", "_pos")
+
+
+def _above(climbing: DataFrame, ways: DataFrame, columns: list[str]) -> DataFrame:
+    """Each way with that of the folder it leads to put before it."""
+    above = ways.where(F.col("node_type") == "Folder").select(
+        F.col("uri").alias("_up"), F.col("_up").alias("_next"), *[F.col(c).alias(f"_{c}") for c in _WAY]
+    )
+    return salted_join(climbing, above, ["_up"], "inner", spread=["uri"]).select(
+        *columns, F.col("_next").alias("_up"), *[F.concat(f"_{c}", c).alias(c) for c in _WAY]
+    )
+
+
+def _climbed(known: DataFrame, columns: list[str], ends: Column, rounds: int | None = None) -> DataFrame | None:
+    """The ways of `known` doubled until they end, or None where any is longer than `rounds` doublings."""
+    closed = [known.where(ends)]
+    while not (climbing := known.where(~ends)).isEmpty():
+        if len(closed) - 1 == rounds:
+            return None
+        climbed = _above(climbing, known, columns)
+        circles = F.coalesce(F.array_contains("chain", F.col("_up")), F.lit(False))
+        climbed = cut(climbed.where(~circles))
+        closed.append(climbed.where(ends))
+        known = known.where(ends).unionByName(climbed)
+    return reduce(DataFrame.unionByName, closed)
+
+
 def node_closure(nodes: DataFrame) -> DataFrame:
     """Every node below the root with `parts`, `path`, `depth`, `chain`, `places`.
 
@@ -24,33 +55,28 @@ def node_closure(nodes: DataFrame) -> DataFrame:
     log2(d) rounds, however deep.  A way that leads to itself, to nothing or to
     what is no folder belongs to no tree.  A folder with a third of all nodes
     below it is spread by `salted_join`.
+
+    In a deep tree ways written whole would take the square of its depth.
+    There, ways end at the next of the folders that a hash picks; the whole
+    ways are written for these folders alone and put before the others' as
+    they are read.
     """
-    is_root = F.col("parent_uri").isNull()
-    names = F.when(is_root, F.array().cast("array<string>")).otherwise(F.array("name"))
-    place = F.struct(F.col("pos").cast("bigint").alias("pos"), "uri")
+    top = F.col("_up").isNull()
+    names = F.when(F.col("parent_uri").isNull(), F.array().cast("array<string>")).otherwise(F.array("name"))
     known = cut(nodes.withColumns({
-        "_up": F.col("parent_uri"), "parts": names, "chain": F.array("uri"), "places": F.array(place),
+        "_up": F.col("parent_uri"), "parts": names, "chain": F.array("uri"), "_pos": F.array(F.col("pos").cast("bigint")),
     }))
-    closed = [known.where(F.col("_up").isNull())]
-    while True:
-        climbing = known.where(F.col("_up").isNotNull())
-        if climbing.isEmpty():
-            break
-        above = known.where(F.col("node_type") == "Folder").select(
-            F.col("uri").alias("_up"), F.col("_up").alias("_next"), F.col("parts").alias("_parts"),
-            F.col("chain").alias("_chain"), F.col("places").alias("_places"),
-        )
-        climbed = salted_join(climbing, above, ["_up"], "inner", spread=["uri"]).select(
-            *nodes.columns, F.col("_next").alias("_up"),
-            *[F.concat(f"_{c}", c).alias(c) for c in ("parts", "chain", "places")],
-        )
-        circles = F.coalesce(F.array_contains("chain", F.col("_up")), F.lit(False))
-        climbed = cut(climbed.where(~circles))
-        closed.append(climbed.where(F.col("_up").isNull()))
-        known = known.where(F.col("_up").isNull()).unionByName(climbed)
-    found = reduce(DataFrame.unionByName, closed)
+    found = _climbed(known, nodes.columns, top, _SHALLOW)
+    if found is None:
+        def picked(uri: str) -> Column:
+            return F.xxhash64(uri) % _APART == 0
+
+        pieces = _climbed(known, nodes.columns, top | picked("_up"))
+        whole = _climbed(pieces.where(picked("uri") & (F.col("node_type") == "Folder")), nodes.columns, top)
+        found = pieces.where(top).unionByName(_above(pieces.where(~top), whole, nodes.columns))
+    places = F.zip_with("_pos", "chain", lambda pos, uri: F.struct(pos.alias("pos"), uri.alias("uri")))
     return found.select(
-        *nodes.columns, "parts", (F.size("chain") - 1).alias("depth"), "chain", "places", F.array_join("parts", "/").alias("path")
+        *nodes.columns, "parts", (F.size("chain") - 1).alias("depth"), "chain", places.alias("places"), F.array_join("parts", "/").alias("path")
     )
 
 

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from shelfmark.operators import change, copies, remote, reports, scanning, search, siblings, tree
+from shelfmark.session import cut
 
 
 def rows(frame, *columns):
@@ -245,3 +246,34 @@ def test_collects_leave_out_names_and_albums_of_the_target(spark):
     hashes = spark.createDataFrame([("s1", "/u1", "E"), ("s2", "/u2", "T"), ("s3", "/u3", "E")], "sha256 string, uri string, album_key string")
     planned = {r["path"]: (r["collect_uri"], r["cached"]) for r in remote.plan_collects(files, albums, names, hashes).collect()}
     assert planned == {"p1": (None, True), "p2": ("/u1", True), "p3": (None, True), "p4": (None, None)}
+
+
+def test_ways_of_a_deep_tree_are_written_in_pieces(spark, tmp_path, monkeypatch):
+    """A chain of 400 folders, a loop and what hangs on both; written whole, their ways would
+    take more than 400,000 names in all rounds."""
+    deep = 400
+    chain = [(f"f{k}", f"f{k - 1}" if k else None, f"n{k}" if k else "", "Folder", k, "Name") for k in range(deep)]
+    hung = [(f"a{k}", f"f{k}", f"album {k}", "Album", 7, "Position") for k in range(deep)]
+    loop = [(f"l{k}", f"l{(k + 1) % 300}", "loop", "Folder", 0, "Name") for k in range(300)]
+    lost = [("al", "l3", "on a loop", "Album", 0, "Name"), ("aa", "a3", "in an album", "Album", 0, "Name"), ("an", "none", "nowhere", "Album", 0, "Name")]
+    # A folder that stands twice gives each way below it twice.
+    twice = [("f398", "f397", "again", "Folder", 1, "Name")]
+    table = spark.createDataFrame(chain + hung + loop + lost + twice, nodes(spark).schema)
+    written = []
+    monkeypatch.setattr(tree, "cut", lambda df: written.append(cut(df)) or written[-1])
+    monkeypatch.setattr(tree, "_APART", 16, raising=False)
+    closure = tree.node_closure(table)
+    assert sum(w.agg(F.sum(F.size("chain"))).first()[0] or 0 for w in written) < 200_000
+    found = {}
+    for r in closure.collect():
+        found.setdefault(r["uri"], []).append(r)
+    assert set(found) == {x[0] for x in chain + hung}
+    for k in range(deep):
+        for uri, own, pos, ways in ((f"f{k}", [], k, found[f"f{k}"]), (f"a{k}", [f"a{k}"], 7, found[f"a{k}"])):
+            assert len(ways) == (2 if k >= 398 else 1)
+            for r in ways:
+                uris = [f"f{i}" for i in range(k + 1)] + own
+                assert r["chain"] == uris and r["depth"] == len(uris) - 1 and [p["uri"] for p in r["places"]] == uris
+                assert r["places"][-1]["pos"] == pos or "again" in r["parts"]
+                assert r["path"] == "/".join(r["parts"]) and len(r["parts"]) == len(uris) - 1
+    assert sorted(r["parts"][397] for r in found["a399"]) == ["again", "n398"]
